@@ -148,13 +148,26 @@ def unfinished(text: str) -> str:
     return "yes" if SENTENCE.search(t) else "open"
 
 
+NO_LANGUAGE = {"", "und", "mul", "zxx", "unknown", "none", "null"}
+
+
 class Languages:
     """A naive Bayes model over words, fitted on a bounded sample of labelled texts."""
 
     def __init__(self, rows: list[tuple[str, str]], least: int = 3) -> None:
+        words = [[w for w in WORDS.findall(QUOTED.sub(" ", text).lower()) if not w.isdigit()] for text, _ in rows]
+        # Labels are compared by their primary subtag: EN and en-GB are en. 'und' and the like name no language.
+        labels = [re.split(r"[-_]", label.strip().lower())[0] for _, label in rows]
+        self.fit([(w, k) for w, k in zip(words, labels) if k not in NO_LANGUAGE], least)
+        # Some labels are wrong; the fitted model corrects them, and the second fit is the one that counts.
+        if len(self.names) > 1:
+            again = [(w, self.names[int(s.argmax())]) for w in words if (s := self.scores_of(w)).any()]
+            self.fit(again, least)
+
+    def fit(self, rows: list[tuple[list[str], str]], least: int) -> None:
         counts: dict[str, Counter] = {}
-        for text, label in rows:
-            counts.setdefault(label, Counter()).update(w for w in WORDS.findall(QUOTED.sub(" ", text).lower()) if not w.isdigit())
+        for words, label in rows:
+            counts.setdefault(label, Counter()).update(words)
         # A label with hardly any rows is noise in the labels, not a language.
         most = max((sum(c.values()) for c in counts.values()), default=0)
         counts = {k: c for k, c in counts.items() if sum(c.values()) >= 0.01 * most}
@@ -169,7 +182,10 @@ class Languages:
                 self.logs[w] = np.array([math.log((counts[k][w] + 0.3) / (totals[k] + 1000)) for k in self.names])
 
     def scores(self, text: str) -> np.ndarray:
-        got = [self.logs[w] for w in WORDS.findall(text.lower()) if w in self.logs]
+        return self.scores_of(WORDS.findall(text.lower()))
+
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        got = [self.logs[w] for w in words if w in self.logs]
         return np.sum(got, axis=0) if got else np.zeros(len(self.names))
 
     def differs(self, question: str, text: str, margin: float = 4.0) -> bool:
