@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import garbled, grouping, neardup, pairs, repetition, splitting
+from docloom.llm import garbled, grouping, mixing, neardup, packing, pairs, repetition, sampling, splitting, variety
+from docloom.llm.tokenizer import token_sizes
 from docloom.session import table
 
 QUERIES: dict = {}
@@ -107,3 +108,57 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its share of repeated words."""
     return repetition.repetition(table(spark, d, "documents"))
+
+
+@query()
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A fifth of the records in the target proportions of difficulty."""
+    return sampling.category_sample(table(spark, d, "records"), table(spark, d, "difficulty_targets"))[0]
+
+
+@query()
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """What each difficulty wanted and got."""
+    return sampling.category_sample(table(spark, d, "records"), table(spark, d, "difficulty_targets"))[1]
+
+
+@query()
+def p5_subset(spark: SparkSession, d: str) -> DataFrame:
+    """A varied subset of the records, of the square root of their number."""
+    return variety.varied_subset(table(spark, d, "records"))
+
+
+def placed_documents(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    most, _ = budget(spark, d, "container")
+    return packing.containers(token_sizes(table(spark, d, "documents"), "doc_id", "text"), "doc_id", most), most
+
+
+@query()
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its container."""
+    return placed_documents(spark, d)[0]
+
+
+@query()
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(*placed_documents(spark, d))
+
+
+def mixed_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    named = [r["source"] for r in targets.select("source").distinct().limit(mixing.MOST_SOURCES + 1).collect()]
+    documents = table(spark, d, "documents").where(F.col("source").isin(named))
+    return mixing.mixture(token_sizes(documents, "doc_id", "text", keep=("source",)), targets)
+
+
+@query()
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture's slots and the pieces of documents in them."""
+    return mixed_documents(spark, d)[0]
+
+
+@query()
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share that each source reached."""
+    return mixed_documents(spark, d)[1]
