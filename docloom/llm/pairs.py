@@ -244,6 +244,14 @@ def length_limits(pairs: DataFrame) -> set[int]:
     return found
 
 
+def labelled_sample(rows: DataFrame, sample: int) -> list:
+    """The `sample` distinct texts of the smallest hash with one label each. Rows of larger hashes are filtered out first, so
+    every task hands on a few rows, however large the table is."""
+    share = min(1.0, 4 * sample / max(1, rows.count()))
+    low = rows.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
+    return low.groupBy("text").agg(F.min("label").alias("label")).orderBy(F.xxhash64("text")).limit(sample).collect()
+
+
 def defective_pairs(records: DataFrame, labelled: DataFrame | None = None, sample: int = 3000) -> DataFrame:
     """(id, slot, defect) of the pairs that have a defect; one row a pair.
 
@@ -256,7 +264,7 @@ def defective_pairs(records: DataFrame, labelled: DataFrame | None = None, sampl
     pairs = pair_table(records)
     languages = None
     if labelled is not None:
-        rows = labelled.where("text is not null and label is not null").orderBy(F.xxhash64("text"), "label").limit(sample).collect()
+        rows = labelled_sample(labelled.where("text is not null and label is not null"), sample)
         languages = Languages([(r["text"], r["label"]) for r in rows])
     limits = length_limits(pairs)
     model = spark.sparkContext.broadcast((languages, limits))
