@@ -24,6 +24,12 @@ def text_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression that is used inside a lambda is otherwise evaluated for every
+    element of the array the lambda runs over."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_list(text: Column) -> Column:
     """Lower-cased words of a text in order; null text gives an empty array."""
     return F.regexp_extract_all(F.lower(F.regexp_replace(text_of(text), "İ", "i")), F.lit(WORD), F.lit(0))
@@ -42,10 +48,13 @@ def terms(text: Column) -> Column:
 
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct runs of k words of [a-z0-9]+; a shorter text is one run, an empty one none."""
-    words = F.regexp_extract_all(F.lower(text_of(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    last = F.greatest(F.size(words) - (k - 1), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def runs(words: Column) -> Column:
+        last = F.greatest(F.size(words) - (k - 1), F.lit(1))
+        made = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, k), " "))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(made))
+
+    return let(F.regexp_extract_all(F.lower(text_of(text)), F.lit("[a-z0-9]+"), F.lit(0)), runs)
 
 
 def numbers(text: Column) -> Column:
@@ -61,10 +70,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def entropy(items: Column) -> Column:
     """Shannon entropy of an array in bits; 0 for an empty one."""
-    n = F.size(items)
+
     # -sum p log2 p over distinct items, with p = count / n.
-    part = F.transform(F.array_sort(F.array_distinct(items)), lambda x: F.size(F.filter(items, lambda y: y == x)).cast("double") / n)
-    return F.aggregate(part, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+    def bits(xs: Column) -> Column:
+        part = F.transform(F.array_sort(F.array_distinct(xs)), lambda x: F.size(F.filter(xs, lambda y: y == x)).cast("double") / F.size(xs))
+        return F.aggregate(part, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+    return let(items, bits)
 
 
 def normalized_name(name: Column) -> Column:
@@ -97,15 +109,20 @@ def near(a: Column, b: Column, share: float = 0.005, least: float = 0.01) -> Col
 
 def term_f1(answer: Column, reference: Column) -> Column:
     """F1 of two arrays of terms as multisets; 1 if both are empty, 0 if one is."""
-    both = F.array_sort(F.array_intersect(answer, reference))
-    common = F.aggregate(F.transform(both, lambda x: F.least(F.size(F.filter(answer, lambda y: y == x)), F.size(F.filter(reference, lambda y: y == x)))), F.lit(0), lambda s, x: s + x)
+
+    def count(a: Column, r: Column) -> Column:
+        both = F.array_sort(F.array_intersect(a, r))
+        each = F.transform(both, lambda x: F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(r, lambda y: y == x))))
+        return F.aggregate(each, F.lit(0), lambda s, x: s + x)
+
+    common = let(answer, lambda a: let(reference, lambda r: count(a, r)))
     n = F.size(answer) + F.size(reference)
     return F.when(n == 0, 1.0).when(common == 0, 0.0).otherwise(2.0 * common / n)
 
 
 def numeric_match(answer: Column, reference: Column) -> Column:
     """Share of the reference's numbers that the answer has, within half a per cent; 1 if there are none."""
-    hit = F.size(F.filter(reference, lambda r: F.exists(answer, lambda a: near(a, r))))
+    hit = let(answer, lambda known: F.size(F.filter(reference, lambda r: F.exists(known, lambda a: near(a, r)))))
     return F.when(F.size(reference) == 0, 1.0).otherwise(hit / F.size(reference))
 
 
@@ -113,7 +130,7 @@ def observations_agree(claimed: Column, actual: Column) -> Column:
     """All claimed numbers occur in the actual output within one per cent; without numbers one text contains the other."""
     said, real = numbers(claimed), numbers(actual)
     a, b = F.lower(F.trim(text_of(claimed))), F.lower(F.trim(text_of(actual)))
-    by_number = F.forall(said, lambda s: F.exists(real, lambda r: near(s, r, 0.01)))
+    by_number = let(real, lambda known: F.forall(said, lambda s: F.exists(known, lambda r: near(s, r, 0.01))))
     return F.when((F.size(said) > 0) & (F.size(real) > 0), by_number).otherwise(F.contains(b, a) | F.contains(a, b))
 
 

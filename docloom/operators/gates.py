@@ -42,7 +42,7 @@ def standalone_question(question: Column) -> Column:
 def shortcut_leakage(question: Column, answer: Column, most: float = 0.6, least_shared: int = 4) -> Column:
     """The question does not already hold the answer's distinctive terms (those that come at most three times)."""
     said = T.terms(answer)
-    distinctive = F.filter(F.array_distinct(said), lambda x: F.size(F.filter(said, lambda y: y == x)) <= 3)
+    distinctive = T.let(said, lambda t: F.filter(F.array_distinct(t), lambda x: F.size(F.filter(t, lambda y: y == x)) <= 3))
     shared = F.size(F.array_intersect(distinctive, T.terms(question)))
     ratio = shared / F.greatest(F.lit(1), F.size(distinctive))
     short = (F.length(T.text_of(answer)) < 40) & F.contains(F.lower(T.text_of(question)), F.lower(F.trim(T.text_of(answer))))
@@ -70,25 +70,24 @@ def supported_numbers(context: Column, trace: Column | None = None) -> Column:
 def numeric_grounding(said: Column, supported: Column) -> Column:
     """Every number is among the supported ones, within half a per cent."""
     mine = T.numbers(said)
-    missing = F.size(F.filter(mine, lambda n: ~F.exists(supported, lambda c: T.near(n, c))))
+    missing = T.let(supported, lambda known: F.size(F.filter(mine, lambda n: ~F.exists(known, lambda c: T.near(n, c)))))
     score = F.when(F.size(mine) == 0, 1.0).otherwise(1.0 - missing / F.size(mine))
     return gate("numeric_grounding", missing == 0, score)
 
 
 def turn_coherence(turns: Column, context: Column, least: float = 0.12) -> Column:
     """A dialogue opens with the user, alternates, has no empty turn, and most assistant turns share terms with the source."""
-    known = T.terms(context)
     n = F.size(turns)
     at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
     empty = F.exists(turns, lambda t: F.trim(T.text_of(t["content"])) == "")
     repeats = F.exists(at, lambda i: (i > 0) & (F.get(turns, i)["role"] == F.get(turns, i - 1)["role"]))
     said = F.filter(turns, lambda t: t["role"] == "assistant")
 
-    def adrift(t: Column) -> Column:
+    def adrift(t: Column, known: Column) -> Column:
         mine = F.array_distinct(T.terms(t["content"]))
         return (F.size(mine) > 0) & (F.size(F.array_intersect(mine, known)) / F.size(mine) < least)
 
-    drifting = F.size(F.filter(said, adrift))
+    drifting = T.let(T.terms(context), lambda known: F.size(F.filter(said, lambda t: adrift(t, known))))
     passed = (turns[0]["role"] == "user") & ~empty & ~repeats & (F.size(said) > 0) & (drifting * 2 <= F.size(said))
     score = F.when(passed, 1.0 - drifting / F.greatest(F.lit(1), F.size(said)) * 0.5).otherwise(0.0)
     return gate("turn_coherence", passed, score)

@@ -1,16 +1,6 @@
-"""The queries of the core library for the driver: name -> function of (spark, directory), and the same in SQL."""
+"""All queries of the core library for the driver."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+from docloom.plans import chosen, engine, graphs, quality, retrieval, text, trees  # noqa: F401
+from docloom.plans.registry import QUERIES, SQL  # noqa: F401
