@@ -103,6 +103,11 @@ def markdown(content: bytes, doc_id: str, source: str) -> list[dict]:
     return out.done()
 
 
+def collapsed(text: str) -> str:
+    """Runs of HTML white space as one blank; a no-break space is no such white space."""
+    return re.sub("[ \t\n\r\f]+", " ", text).strip(" ")
+
+
 class Page(HTMLParser):
     """A state machine over the events of an HTML page that feeds a builder."""
 
@@ -167,9 +172,9 @@ class Page(HTMLParser):
             self.in_title = False
         elif tag == "table" and self.tables:
             table = self.tables.pop()
-            grid = [[" ".join("".join(c).split()) for c in row] for row in table["grid"] if row]
+            grid = [[collapsed("".join(c)) for c in row] for row in table["grid"] if row]
             if len(grid) >= 2:
-                self.out.table(grid, " ".join("".join(table["caption"]).split()), f"#{table['anchor']}" if table["anchor"] else "")
+                self.out.table(grid, collapsed("".join(table["caption"])), f"#{table['anchor']}" if table["anchor"] else "")
         elif self.tables:
             if tag in ("td", "th", "caption"):
                 self.tables[-1]["cell"] = None
@@ -190,7 +195,7 @@ class Page(HTMLParser):
     def flush(self) -> None:
         raw, kind, anchor = "".join(self.text), self.kind, self.anchor
         self.text, self.kind, self.anchor = [], "paragraph", ""
-        text = raw.strip("\n") if kind == "code" else " ".join(raw.split())
+        text = raw.strip("\n") if kind == "code" else collapsed(raw)
         if not text.strip():
             self.kind = kind if kind != "heading" else "paragraph"
             self.anchor = anchor
