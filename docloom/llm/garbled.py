@@ -22,29 +22,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ENTER, LEAVE, NEVER = 3.8, 2.0, 60.0
-#: What an ideograph costs on top where a transform yields it: bytes of any kind often make one by chance.
+#: What an ideograph, and for one-byte encodings a frame or odd sign, costs on top where a transform yields it.
 RARE_RESULT = 12.0
 #: What a pair of one-byte encodings pays a character, as it can make a letter of anything, and for an everyday sign on top.
-ONE_BYTE_COST, SIGN_LOST = 0.7, 4.0
+ONE_BYTE_COST, SIGN_LOST = 0.3, 4.0
 TOP = 0x10000
 
 # Character classes.
-(SPACE, LOWER, UPPER, DIGIT, ALOWER, AUPPER, CLOWER, CRARE, CUPPER, CODD, SIGN, GREEK, ODD, BOX, CONTROL, IDEOGRAPH, LOST, OTHER) = range(18)
+(SPACE, LOWER, UPPER, DIGIT, ALOWER, AUPPER, CLOWER, CRARE, CUPPER, CODD, SIGN, GREEK, ODD, BOX, CONTROL, IDEOGRAPH, LOST, OTHER, CUPRARE) = range(19)
 
 # Everyday signs, less usual signs, and the Russian letters by how common they are.
-SIGNS = "“”‘’„–—…«»°±·µ²³§№€×Ωµ•→≤≥≈≠√∞∑∂∫∏− "
-ODD_SIGNS = "¬¦¨ª¤¶¸¹¼½¾¿¡†‡‰‹›ˆ˜ƒ™¢£¥¯´©®º÷⌐⌠⌡‚˘˙˚˛˝­⁄ˇ◊"
+SIGNS = "¿¡¶“”‘’„–—…«»°±·µ²³§№€×Ωµ•→≤≥≈≠√∞∑∂∫∏−"
+ODD_SIGNS = "½¼¾©®™¬¦¨ª¤¸¹†‡‰‹›ˆ˜ƒ¢£¥¯´º÷⌐⌠⌡‚˘˙˚˛˝­⁄ˇ◊"
 RUSSIAN_COMMON = "оеаинтсрвлкмдпуяызьбг"
 RUSSIAN_RARE = "чйхжшюцщэфъё"
 
 #: Nats of one character by class, and what neighbours add.
-COST = {SPACE: 2.5, LOWER: 3, UPPER: 4, DIGIT: 3.5, ALOWER: 5.5, AUPPER: 7.5, CLOWER: 3, CRARE: 5, CUPPER: 5, CODD: 10, SIGN: 6, GREEK: 9, ODD: 9, BOX: 7, CONTROL: 16, IDEOGRAPH: 12, LOST: 12, OTHER: 15}
-LATIN, CYRILLIC = (LOWER, UPPER, ALOWER, AUPPER), (CLOWER, CRARE, CUPPER, CODD)
+COST = {SPACE: 2.5, LOWER: 3, UPPER: 4, DIGIT: 3.5, ALOWER: 4.2, AUPPER: 7, CLOWER: 3, CRARE: 5, CUPPER: 5, CODD: 10, SIGN: 6, GREEK: 9, ODD: 9, BOX: 7, CONTROL: 16, IDEOGRAPH: 12, LOST: 12, OTHER: 15, CUPRARE: 7}
+LATIN, CYRILLIC = (LOWER, UPPER, ALOWER, AUPPER), (CLOWER, CRARE, CUPPER, CUPRARE, CODD)
 
 
 def bigram_costs() -> np.ndarray:
     """Cost of a character of the second class after one of the first."""
-    table = np.tile(np.array([COST[c] for c in range(18)], float), (18, 1))
+    table = np.tile(np.array([COST[c] for c in range(19)], float), (19, 1))
 
     def add(firsts: tuple[int, ...], seconds: tuple[int, ...], extra: float) -> None:
         for a in firsts:
@@ -52,15 +52,15 @@ def bigram_costs() -> np.ndarray:
                 table[a, b] += extra
 
     add((LOWER, ALOWER), (UPPER, AUPPER), 4)
-    add((CLOWER, CRARE), (CUPPER,), 5)
-    add((CUPPER,), (CUPPER,), -1)
+    add((CLOWER, CRARE), (CUPPER, CUPRARE), 5)
+    add((CUPPER, CUPRARE), (CUPPER, CUPRARE), -2)
     add(LATIN, CYRILLIC, 5)
     add(CYRILLIC, LATIN, 5)
     add(LATIN + CYRILLIC, (GREEK, ODD, BOX), 2.5)
-    add((AUPPER, ALOWER, ODD, GREEK, CODD), (SIGN,), 1.5)
+    add((AUPPER, ALOWER, ODD, GREEK, CODD), (SIGN,), 2.5)
     add((GREEK, ODD, BOX), LATIN + CYRILLIC, 2)
     add((ALOWER,), (ALOWER,), 2.5)
-    add((AUPPER,), (ALOWER, AUPPER), 1.5)
+    add((AUPPER,), (ALOWER, AUPPER), 2.5)
     add((BOX,), (BOX,), -5)
     add((IDEOGRAPH,), (IDEOGRAPH,), -5)
     add(LATIN + CYRILLIC + (DIGIT,), (IDEOGRAPH,), 3)
@@ -75,6 +75,8 @@ def class_of(c: str) -> int:
         return DIGIT if c.isdigit() else LOWER if c.islower() else UPPER if c.isupper() else SPACE
     if c == "�":
         return LOST
+    if c == "\xa0":
+        return SPACE
     if c in SIGNS:
         return SIGN
     if c in ODD_SIGNS:
@@ -85,8 +87,10 @@ def class_of(c: str) -> int:
         return CLOWER
     if c in RUSSIAN_RARE:
         return CRARE
-    if c.lower() in RUSSIAN_COMMON + RUSSIAN_RARE:
+    if c.lower() in RUSSIAN_COMMON:
         return CUPPER
+    if c.lower() in RUSSIAN_RARE:
+        return CUPRARE
     if 0x400 <= o < 0x460 or o in (0x490, 0x491):
         return CODD
     if 0xC0 <= o < 0x180:
@@ -206,7 +210,8 @@ def gains(codes: np.ndarray) -> dict[str, np.ndarray]:
             continue
         again = t["classes"][other]
         cost = t["costs"][np.append([SPACE], again[:-1]), again]
-        paid = np.where(plain, 0.0, ONE_BYTE_COST + SIGN_LOST * (classes == SIGN))
+        drawn = (again == BOX) | (again == ODD) | (again == CONTROL) | (again == OTHER)
+        paid = np.where(plain, 0.0, ONE_BYTE_COST + SIGN_LOST * (classes == SIGN) + RARE_RESULT * drawn)
         out[name] = np.where(other > 0, clean - cost - paid, -NEVER)
     return out
 
@@ -279,13 +284,13 @@ def undo(name: str, text: str) -> str:
 
 
 def whole_words(text: str, begin: int, end: int, name: str) -> tuple[int, int]:
-    """A span of one-byte characters reaches to the ends of its words: every non-ASCII letter next to it was read the same way."""
+    """A span of one-byte characters reaches to the ends of its words: every non-ASCII character of them was read the same way."""
     if name.startswith("utf_8"):
         return begin, end
     half = upper_half(name.split(">")[1])
-    while begin > 0 and text[begin - 1] in half and text[begin - 1].isalpha():
+    while begin > 0 and text[begin - 1] in half and not text[begin - 1].isspace():
         begin -= 1
-    while end < len(text) and text[end] in half and text[end].isalpha():
+    while end < len(text) and text[end] in half and not text[end].isspace():
         end += 1
     return begin, end
 
