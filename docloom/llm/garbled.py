@@ -52,7 +52,7 @@ def bigram_costs() -> np.ndarray:
                 table[a, b] += extra
 
     add((LOWER, ALOWER), (UPPER, AUPPER), 4)
-    add((CLOWER, CRARE), (CUPPER, CUPRARE), 5)
+    add((CLOWER, CRARE), (CUPPER, CUPRARE), 7)
     add((CUPPER, CUPRARE), (CUPPER, CUPRARE), -2)
     add(LATIN, CYRILLIC, 5)
     add(CYRILLIC, LATIN, 5)
@@ -212,7 +212,13 @@ def gains(codes: np.ndarray) -> dict[str, np.ndarray]:
         cost = t["costs"][np.append([SPACE], again[:-1]), again]
         drawn = (again == BOX) | (again == ODD) | (again == CONTROL) | (again == OTHER)
         paid = np.where(plain, 0.0, ONE_BYTE_COST + SIGN_LOST * (classes == SIGN) + RARE_RESULT * drawn)
-        out[name] = np.where(other > 0, clean - cost - paid, -NEVER)
+        gain = np.where(other > 0, clean - cost - paid, -NEVER)
+        # A run of such characters is taken or left as a whole, with what the ASCII character after it makes of the change.
+        follows = plain & np.append([False], ~plain[:-1])
+        run = np.cumsum(plain | np.append([True], plain[:-1])) - 1
+        total = np.bincount(run, np.where(plain, 0.0, gain))
+        total[run[np.flatnonzero(follows) - 1]] += gain[follows]
+        out[name] = np.where(plain, 0.0, (total / np.bincount(run))[run])
     return out
 
 

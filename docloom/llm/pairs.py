@@ -106,7 +106,13 @@ def is_copy(question: str, text: str) -> bool:
     missing = [w for w in known if w not in told]
     extra = [w for w in extra if not any(close_words(w, m) for m in missing)]
     matched = len(told) - len(extra)
-    return matched >= 0.7 * len(known) and len(extra) <= 5 and not any(c.isdigit() for w in extra for c in w)
+    if matched < 0.7 * len(known) or any(c.isdigit() for w in extra for c in w):
+        return False
+    # New words may introduce the copy; inside and after it hardly any may stand.
+    new, begin = set(extra), 0
+    while begin < len(said) and said[begin] in new:
+        begin += 1
+    return begin <= 5 and sum(w in new for w in said[begin:]) <= max(1, 0.1 * (len(said) - begin))
 
 
 def unfinished(text: str) -> str:
@@ -140,6 +146,8 @@ def unfinished(text: str) -> str:
         return "no"
     if t[-1] in ",;:-–—(/&" and len(t) > 1:
         return "yes"
+    if re.search(r"(?:^|\s)(?:\d{1,2}[.)]|[a-z]\))$", t) and len(t) > LEAST_PREFIX:
+        return "yes"
     if t[-1] in "»”\")]}" and SENTENCE.search(t) is None:
         return "open"
     words = WORDS.findall(t.lower())
