@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -109,18 +111,24 @@ def fragment_rows(fragments: DataFrame) -> DataFrame:
     """Adds `row`: fragments of a page whose vertical spans overlap a row's running span by half are in that row."""
     schema = fragments.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", row int"
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y0", "x0"], kind="stable")
-        rows, top, bottom, n, seen = [], 0.0, -1.0, -1, 0
-        for y0, y1 in zip(frame["y0"], frame["y1"]):
-            if n >= 0 and min(bottom, y1) - max(top, y0) >= 0.5 * min(bottom - top, y1 - y0):
-                top, bottom, seen = (top * seen + y0) / (seen + 1), (bottom * seen + y1) / (seen + 1), seen + 1
-            else:
-                n, top, bottom, seen = n + 1, y0, y1, 1
-            rows.append(n)
-        return frame.assign(row=rows)
-
-    return fragments.groupBy("doc_id", "page").applyInPandas(work, schema)
+    names = fragments.columns
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, top, bottom, n, seen = None, 0.0, -1.0, -1, 0
+        for frame in frames:
+            rows = []
+            for doc, number, y0, y1 in zip(frame["doc_id"], frame["page"], frame["y0"], frame["y1"]):
+                if (doc, number) != page:
+                    page, n = (doc, number), -1
+                if n >= 0 and min(bottom, y1) - max(top, y0) >= 0.5 * min(bottom - top, y1 - y0):
+                    top, bottom, seen = (top * seen + y0) / (seen + 1), (bottom * seen + y1) / (seen + 1), seen + 1
+                else:
+                    n, top, bottom, seen = n + 1, y0, y1, 1
+                rows.append(n)
+            yield frame[names].assign(row=rows)
+
+    # Pages stream through sorted partitions: no task per page, and no page is held in memory.
+    return fragments.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "y0", "x0").mapInPandas(work, schema)
 
 
 def aligned_tables(rows: DataFrame, least_rows: int = 3) -> DataFrame:

@@ -24,8 +24,10 @@ def mentions(chunks: DataFrame) -> DataFrame:
     titles = F.coalesce("section_path", F.array().cast("array<string>"))
     quantities = F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(0))
     named = F.concat(F.transform(F.concat(terms, titles), lambda t: F.struct(t.alias("name"), F.lit("term").alias("type"))), F.transform(quantities, lambda t: F.struct(t.alias("name"), F.lit("quantity").alias("type"))))
-    rows = chunks.select(F.col("id").alias("chunk_id"), "source", F.explode(F.array_distinct(named)).alias("m"))
-    return rows.select("chunk_id", "source", "m.name", "m.type", T.normalized_name(F.col("m.name")).alias("key")).where("length(key) between 2 and 120")
+    # explode would let the optimiser test the arrays' sizes first, with every regular expression run once more.
+    keyed = F.transform(F.array_distinct(named), lambda m: F.struct(m["name"].alias("name"), m["type"].alias("type"), T.normalized_name(m["name"]).alias("key")))
+    rows = chunks.select(F.col("id").alias("chunk_id"), "source", F.explode_outer(F.filter(keyed, lambda m: F.length(m["key"]).between(2, 120))).alias("m"))
+    return rows.select("chunk_id", "source", "m.name", "m.type", "m.key").where("key is not null")
 
 
 def variants(found: DataFrame) -> DataFrame:
@@ -104,31 +106,31 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     return reached
 
 
-def bridging_pairs(found: DataFrame, known: DataFrame, edges: DataFrame, limit: int = 64, first: int = 256) -> DataFrame:
+def bridging_pairs(found: DataFrame, known: DataFrame, edges: DataFrame, limit: int = 64, first: int = 16) -> DataFrame:
     """(a, b, hops, support): pairs of entities in disjoint sets of chunks that are two or three hops apart, ordered by hops,
     then by the number of their chunks (largest first), then by keys; the first `limit`.
 
     Two-hop pairs come first, and the support of a pair with disjoint chunks is the sum of the two counts. So it is enough to
-    search among the entities with the most chunks: once `limit` pairs are found whose support reaches that of the best
-    entity with the best one left out, no other pair can enter. The searched set doubles until that holds.
+    search outwards from the entities with the most chunks: a pair with neither end among them has at most twice the count of
+    the last of them. Once `limit` pairs are above that, no other pair can enter; until then the searched set grows fourfold.
     """
     ranked = known.select("key", "chunks").orderBy(F.desc("chunks"), "key")
-    near = cut(undirected(edges))
     total, size = known.count(), first
-    best = known.agg(F.max("chunks")).first()[0] or 0
     while True:
         heads = cut(ranked.limit(size))
         edge = heads.agg(F.min("chunks")).first()[0] or 0
         whole = size >= total
         spread = within_hops(edges.select("src", "dst"), heads, 2 if not whole else 3)
-        pairs = spread.where("hops >= 2 and seed < key").join(heads.withColumnRenamed("chunks", "n2"), "key").join(heads.select(F.col("key").alias("seed"), F.col("chunks").alias("n1")), "seed")
-        shared = found.select(F.col("key").alias("seed"), "chunk_id").join(pairs.select("seed", "key"), "seed").join(found.select("key", "chunk_id"), ["key", "chunk_id"], "left_semi").select("seed", "key").distinct()
-        result = pairs.join(shared, ["seed", "key"], "left_anti").select(F.col("seed").alias("a"), F.col("key").alias("b"), "hops", (F.col("n1") + F.col("n2")).alias("support"))
-        result = cut(result.orderBy("hops", F.desc("support"), "a", "b").limit(limit))
-        sure = result.where((F.col("hops") == 2) & (F.col("support") > best + edge)).count()
+        far = spread.where("hops >= 2").join(known.select("key", F.col("chunks").alias("n2")), "key").join(heads.select(F.col("key").alias("seed"), F.col("chunks").alias("n1")), "seed")
+        # Chunks of the heads meet the chunks of all entities once: pairs with one in common are out.
+        own = found.select(F.col("key").alias("seed"), "chunk_id").join(heads.select(F.col("key").alias("seed")), "seed", "left_semi")
+        shared = own.join(found.select("key", "chunk_id"), "chunk_id").select("seed", "key").distinct()
+        pairs = far.join(shared, ["seed", "key"], "left_anti").select(F.least("seed", "key").alias("a"), F.greatest("seed", "key").alias("b"), "hops", (F.col("n1") + F.col("n2")).alias("support")).distinct()
+        result = cut(pairs.orderBy("hops", F.desc("support"), "a", "b").limit(limit))
+        sure = result.where((F.col("hops") == 2) & (F.col("support") > 2 * edge)).count()
         if whole or sure >= limit:
             return result
-        size *= 2
+        size *= 4
 
 
 def cross_document(found: DataFrame, known: DataFrame, edges: DataFrame, limit: int = 32) -> DataFrame:

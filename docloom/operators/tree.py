@@ -88,7 +88,7 @@ def references(nodes: DataFrame) -> DataFrame:
         if kind == "section":
             keys = F.transform(keys, lambda x: F.regexp_extract(x, r"(\d+(?:\.\d+)*|[A-Z])[^0-9A-Za-z]*$", 1))
         parts.append(F.transform(keys, of_kind(kind)))
-    found = nodes.where("text is not null").select("doc_id", "ord", F.explode(F.array_distinct(F.concat(*parts))).alias("r")).select("doc_id", "ord", "r.kind", "r.key")
+    found = nodes.where("text is not null").select("doc_id", "ord", F.explode_outer(F.array_distinct(F.concat(*parts))).alias("r")).select("doc_id", "ord", "r.kind", "r.key").where("kind is not null")
     bound = found.join(labels(nodes), ["doc_id", "kind", "key"], "left")
     return bound.where("target is null or target <> ord").select("doc_id", "ord", "kind", "key", "target", F.col("target").isNotNull().alias("resolved"))
 

@@ -27,7 +27,7 @@ def token_stats(spark: SparkSession, d: str) -> DataFrame:
     """Terms, distinct terms and entropy of each document."""
     rows = table(spark, d, "documents").select("doc_id", T.terms(F.col("text")).alias("t"))
     # Counting by a join on (document, term) instead of inside the array keeps long documents linear.
-    flat = rows.select("doc_id", F.explode("t").alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("c"))
+    flat = rows.select("doc_id", F.explode_outer("t").alias("w")).where("w is not null").groupBy("doc_id", "w").agg(F.count("*").alias("c"))
     per = flat.groupBy("doc_id").agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.sum(F.col("c") * F.log2("c")).alias("s"))
     entropy = F.round(F.log2("n") - F.col("s") / F.col("n"), 6)
     joined = table(spark, d, "documents").select("doc_id").join(per, "doc_id", "left")

@@ -25,7 +25,7 @@ PASSAGE_SCHEMA = "id string, text string, body string, source string, breadcrumb
 def read_documents(spark: SparkSession, path: str, parsers: dict[str, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, skipped) of all supported files under a path or glob. skipped: (path, reason), one row a file that can't be read.
 
-    A file is one row of the binary source and is parsed in one piece; the document's id is a hash of its path, its source the
+    Files of zero bytes are passed over by Spark's file index; blank ones are skipped with a reason. A file is one row of the binary source and is parsed in one piece; the document's id is a hash of its path, its source the
     file name. Own parsers, by suffix, come before the built-in ones.
     """
     known = PARSERS | (parsers or {})
@@ -38,7 +38,8 @@ def read_documents(spark: SparkSession, path: str, parsers: dict[str, Callable]
         for frame in frames:
             for place, content in zip(frame["path"], frame["content"]):
                 rows = parse_file(place, bytes(content), known)
-                yield pd.DataFrame(rows, columns=[*COLUMNS, "path", "reason"])
+                # Columns of objects: in a mixed frame missing arrays would become numbers.
+                yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in [*COLUMNS, "path", "reason"]})
 
     parsed = files.mapInPandas(work, f"{NODE_SCHEMA}, path string, reason string")
     return parsed.where("reason is null").drop("path", "reason"), parsed.where("reason is not null").select("path", "reason")
@@ -67,14 +68,19 @@ def parse_file(path: str, content: bytes, known: dict[str, Callable] = PARSERS)
         return [{"path": path, "reason": f"{type(error).__name__}: {error}"[:300]}]
 
 
+def under(df: DataFrame, name: str) -> DataFrame:
+    """Rows of files with the name, or below a folder with it, as Spark writes one; other files are pruned before they are read."""
+    return df.where(F.col("_metadata.file_path").rlike(f"/{name}(/|$)"))
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Passages of exported corpora: every corpus.jsonl below the path."""
-    return spark.read.schema(PASSAGE_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "corpus.jsonl*").json(path)
+    return under(spark.read.schema(PASSAGE_SCHEMA).option("recursiveFileLookup", "true").json(path), r"corpus\.jsonl")
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Records of raw exports, with all fields."""
-    return spark.read.schema(RECORD_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "raw.jsonl*").json(path)
+    return under(spark.read.schema(RECORD_SCHEMA).option("recursiveFileLookup", "true").json(path), r"raw\.jsonl")
 
 
 def questions_of(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -95,4 +101,4 @@ def questions_of(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    return questions_of(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(path))
+    return questions_of(under(spark.read.option("recursiveFileLookup", "true").text(path), r"[^/]*\.jsonl"))

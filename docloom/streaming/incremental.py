@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_windows(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(start, event_type, n, total): events and their values by window and type; later ones than `late` are left out."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+def event_windows(events: DataFrame, length: str = "1 hour", late: str | None = "2 hours") -> DataFrame:
+    """(start, event_type, n, total): events and their values by window and type; later ones than `late` are left out. A stream that
+    has a watermark already keeps it with late = None."""
+    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
     out = rows.groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def user_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+def user_sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "2 hours") -> DataFrame:
     """(user_id, start, end, n): runs of a user's events without a longer pause than the gap."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
     out = rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
