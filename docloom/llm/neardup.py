@@ -155,10 +155,25 @@ def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", threshol
     return members, similar_classes(cut(classes), threshold, hot, listed)
 
 
-def pair_rows(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: every pair of different ids in one class or in two linked classes."""
-    x, y = members.withColumnRenamed("id", "x"), members.withColumnRenamed("id", "y")
-    same = x.join(y, "cls").where("x < y").select("x", "y")
+#: Copies up to which a class's pairs are written out.
+EXPAND = 1000
+
+
+def pair_rows(members: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: every pair of different ids in one class or in two linked classes.
+
+    A class of more than `expand` copies is given by its smallest id: that id comes with every copy, and it alone stands for
+    the class in pairs with other classes. So a group of copies of any size gives as many rows as it has members, and all
+    other pairs follow from these.
+    """
+    sizes = members.groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("head"))
+    sized = members.join(sizes, "cls")
+    full = F.col("copies") <= expand
+    stars = sized.where(~full & (F.col("id") > F.col("head"))).select(F.col("head").alias("x"), F.col("id").alias("y"))
+    open_ = sized.where(full & (F.col("copies") > 1)).select("id", "cls")
+    same = open_.withColumnRenamed("id", "x").join(open_.withColumnRenamed("id", "y"), "cls").where("x < y").select("x", "y").unionByName(stars)
+    stand = sized.where(full | (F.col("id") == F.col("head"))).select("id", "cls")
+    x, y = stand.withColumnRenamed("id", "x"), stand.withColumnRenamed("id", "y")
     across = links.join(x.withColumnRenamed("cls", "a"), "a").join(y.withColumnRenamed("cls", "b"), "b").where("x <> y").select("x", "y")
     return same.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

@@ -46,6 +46,10 @@ def test_one_group_of_copies_holds_a_third(spark):
     own = {r["id"]: r for r in class_rows(members, links).collect()}
     assert own["c000"]["copies"] == 40 and len({own[f"c{i:03d}"]["cls"] for i in range(40)}) == 1
     assert {tuple(r) for r in pair_rows(members, links).collect()} == brute(rows, 0.75)
+    star = {tuple(r) for r in pair_rows(members, links, expand=20).collect()}
+    assert {p for p in star if "c000" in p} >= {("c000", f"c{i:03d}") for i in range(1, 40)}
+    assert {p for p in star if not {x for x in p if x.startswith("c")}} == {p for p in brute(rows, 0.75) if not {x for x in p if x.startswith("c")}}
+    assert not any(a.startswith("c") and b.startswith("c") and a != "c000" for a, b in star)
 
 
 def test_nulls_repeats_empty_and_clashing_names(spark):
