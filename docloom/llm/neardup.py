@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from docloom.functions.text import word_list
 from docloom.session import cut
 
-#: Parity sketch of a set: bits flipped once for each word, as four numbers of 64 bits.
-SKETCH = 4
+#: Parity sketch of a set: bits flipped once for each word, as three numbers of 64 bits.
+SKETCH = 3
 POSTING = "sig bigint, cls bigint, n int, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
 
 
@@ -137,7 +137,7 @@ def similar_classes(classes: DataFrame, threshold: float, hot: int, listed: int)
     return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
-def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", threshold: float = 0.75, hot: int = 48, listed: int = 1 << 20, salt: str = "") -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", threshold: float = 0.75, hot: int = 128, listed: int = 1 << 20, salt: str = "") -> tuple[DataFrame, DataFrame]:
     """(members, links). members: (id, cls), every row with its class of equal word sets. links: (a, b, similarity), every
     pair of different classes whose Jaccard similarity of distinct words is at least the threshold.
 
