@@ -27,6 +27,8 @@ from docloom.session import cut
 
 #: Parity sketch of a set: bits flipped once for each word, as three numbers of 64 bits.
 SKETCH = 3
+#: Bits of the map that keeps classes without candidates out of the last join.
+BITMAP = 1 << 22
 POSTING = "sig bigint, cls bigint, n int, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
 
 
@@ -116,6 +118,24 @@ def postings(classes: DataFrame, words: np.ndarray, counts: np.ndarray, least: i
     return classes.select("cls", "h").mapInArrow(work, POSTING)
 
 
+def only_marked(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The classes that are wanted, and a few others: a bitmap of fixed size of their hashes is sent to the rows, so that the
+    word sets of classes without a candidate are not shuffled once more."""
+    slot = F.pmod(F.col("cls"), F.lit(BITMAP)).cast("int")
+    marks = wanted.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
+    bits = np.zeros(BITMAP // 8, np.uint8)
+    np.bitwise_or.at(bits, marks >> 3, (1 << (marks & 7)).astype(np.uint8))
+    spread = classes.sparkSession.sparkContext.broadcast(bits)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = spread.value
+        for batch in batches:
+            place = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) % BITMAP
+            yield batch.filter(pa.array((have[place >> 3] >> (place & 7) & 1).astype(bool)))
+
+    return classes.select("cls", "h").mapInArrow(work, "cls bigint, h array<bigint>")
+
+
 def similar_classes(classes: DataFrame, threshold: float, hot: int, listed: int) -> DataFrame:
     """(a, b, similarity): every pair of classes over the threshold, a < b."""
     words, counts, least = common_words(classes, listed)
@@ -127,8 +147,8 @@ def similar_classes(classes: DataFrame, threshold: float, hot: int, listed: int)
     # |A xor B| = |A| + |B| - 2 |A and B|, and |A and B| >= t / (1 + t) * (|A| + |B|).
     allowed = (small + large) * ((1 - threshold) / (1 + threshold))
     found = left.join(right, "sig").where((F.col("x") < F.col("y")) & (small >= large * threshold - 1e-9) & (apart <= allowed + 1e-9))
-    candidates = found.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    full = classes.select("cls", "h")
+    candidates = cut(found.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
+    full = only_marked(classes, candidates.select(F.explode(F.array("a", "b")).alias("cls")))
     pairs = candidates.join(full.withColumnsRenamed({"cls": "a", "h": "ha"}), "a").join(full.withColumnsRenamed({"cls": "b", "h": "hb"}), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     pairs = pairs.select("a", "b", (shared / (F.size("ha") + F.size("hb") - shared)).alias("similarity"), shared.alias("shared"), (F.size("ha") + F.size("hb") - shared).alias("joined"))
