@@ -27,7 +27,7 @@ from docloom.session import cut
 
 #: Parity sketch of a set: bits flipped once for each word, as three numbers of 64 bits.
 SKETCH = 3
-#: Bits of the map that keeps classes without candidates out of the last join.
+#: Bits of the map that tells which classes have copies, and which have candidates.
 BITMAP = 1 << 22
 POSTING = "sig bigint, cls bigint, n int, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
 
@@ -118,22 +118,23 @@ def postings(classes: DataFrame, words: np.ndarray, counts: np.ndarray, least: i
     return classes.select("cls", "h").mapInArrow(work, POSTING)
 
 
-def only_marked(classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The classes that are wanted, and a few others: a bitmap of fixed size of their hashes is sent to the rows, so that the
-    word sets of classes without a candidate are not shuffled once more."""
+def marked(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, h, hit): hit is true for the classes that are wanted, and for a few others. A bitmap of fixed size of their hashes
+    is sent to the rows, so that word sets need no shuffle where their class needs no company."""
     slot = F.pmod(F.col("cls"), F.lit(BITMAP)).cast("int")
     marks = wanted.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
     bits = np.zeros(BITMAP // 8, np.uint8)
     np.bitwise_or.at(bits, marks >> 3, (1 << (marks & 7)).astype(np.uint8))
-    spread = classes.sparkSession.sparkContext.broadcast(bits)
+    spread = sets.sparkSession.sparkContext.broadcast(bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = spread.value
         for batch in batches:
             place = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) % BITMAP
-            yield batch.filter(pa.array((have[place >> 3] >> (place & 7) & 1).astype(bool)))
+            hit = (have[place >> 3] >> (place & 7) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], ["cls", "h", "hit"])
 
-    return classes.select("cls", "h").mapInArrow(work, "cls bigint, h array<bigint>")
+    return sets.select("cls", "h").mapInArrow(work, "cls bigint, h array<bigint>, hit boolean")
 
 
 def similar_classes(classes: DataFrame, threshold: float, hot: int, listed: int) -> DataFrame:
@@ -148,7 +149,7 @@ def similar_classes(classes: DataFrame, threshold: float, hot: int, listed: int)
     allowed = (small + large) * ((1 - threshold) / (1 + threshold))
     found = left.join(right, "sig").where((F.col("x") < F.col("y")) & (small >= large * threshold - 1e-9) & (apart <= allowed + 1e-9))
     candidates = cut(found.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
-    full = only_marked(classes, candidates.select(F.explode(F.array("a", "b")).alias("cls")))
+    full = marked(classes, candidates.select(F.explode(F.array("a", "b")).alias("cls"))).where("hit").drop("hit")
     pairs = candidates.join(full.withColumnsRenamed({"cls": "a", "h": "ha"}), "a").join(full.withColumnsRenamed({"cls": "b", "h": "hb"}), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     pairs = pairs.select("a", "b", (shared / (F.size("ha") + F.size("hb") - shared)).alias("similarity"), shared.alias("shared"), (F.size("ha") + F.size("hb") - shared).alias("joined"))
@@ -171,7 +172,11 @@ def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", threshol
     sets = sets.where(F.size("h") > 0).select("id", "h", F.xxhash64("h", F.lit(7)).alias("cls"))
     sets = cut(sets)
     members = sets.select("id", "cls").distinct()
-    classes = sets.groupBy("cls").agg(F.first("h").alias("h"))
+    # Most classes have one row; only the others are brought together.
+    several = sets.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1")
+    split = marked(sets, several)
+    alone = split.where("not hit").select("cls", "h")
+    classes = alone.unionByName(split.where("hit").groupBy("cls").agg(F.first("h").alias("h")))
     return members, similar_classes(cut(classes), threshold, hot, listed)
 
 
