@@ -111,11 +111,12 @@ def questions_kept(spark: SparkSession, d: str) -> DataFrame:
     return dedup.lexical_dedup(records(spark, d), "id", "question", "loaded_at", 0.8).where("kept").select("id")
 
 
-SPLIT_DATE = "2025-10-01"
+#: 2025-10-01 in UTC, in seconds.
+SPLIT_SECOND = 1_759_276_800
 
 
 @query(
-    f"""WITH {D.RECORDS}, x AS (SELECT id, list_sort({D.shingles('question')}) AS h, loaded_at >= TIMESTAMP '{SPLIT_DATE}' AS fresh FROM r WHERE loaded_at IS NOT NULL),
+    f"""WITH {D.RECORDS}, x AS (SELECT id, list_sort({D.shingles('question')}) AS h, epoch(loaded_at) >= {SPLIT_SECOND} AS fresh FROM r WHERE loaded_at IS NOT NULL),
     f AS (SELECT id, h, len(h) AS n FROM x WHERE fresh), o AS (SELECT id AS oid, h, len(h) AS m FROM x WHERE NOT fresh AND len(h) > 0),
     e AS (SELECT id, n, unnest(h) AS g FROM f), b AS (SELECT oid, m, unnest(h) AS g FROM o),
     hit AS (SELECT DISTINCT id FROM (SELECT id, oid, n, m, count(*) AS c FROM e JOIN b USING (g) GROUP BY ALL) WHERE c::DOUBLE / (n + m - c) >= 0.8)
@@ -123,5 +124,5 @@ SPLIT_DATE = "2025-10-01"
 )
 def new_questions(spark: SparkSession, d: str) -> DataFrame:
     """Records loaded since a date whose question is no near-duplicate of an earlier one."""
-    rows = cut(records(spark, d).where("loaded_at is not null").select("id", "question", (F.col("loaded_at") >= F.lit(SPLIT_DATE).cast("timestamp")).alias("fresh")))
+    rows = cut(records(spark, d).where("loaded_at is not null").select("id", "question", (F.unix_micros("loaded_at") >= SPLIT_SECOND * 1_000_000).alias("fresh")))
     return dedup.new_rows(rows.where("fresh").select("id", "question"), rows.where("not fresh").select(F.col("question").alias("known")), "id", "question", "known").select("id")
