@@ -82,7 +82,8 @@ def same_section(found: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(mentions, entities, edges) of the chunks."""
-    found = cut(resolved(mentions(chunks)))
+    # The mentions are used several times while variants are found: their regular expressions shall run once.
+    found = cut(resolved(cut(mentions(chunks))))
     known = cut(entities(found))
     edges = co_occurrence(found, known).unionByName(same_section(found, chunks)).where("src <> dst")
     return found, known, cut(edges)

@@ -23,7 +23,7 @@ from docloom.session import cut, table
 )
 def difficulty_balance(spark: SparkSession, d: str) -> DataFrame:
     """Half of the records, balanced over recomputed difficulty, the best first."""
-    rows = records(spark, d)
+    rows = records(spark, d, "scores", "task", "hops", "question", "answer", "context")
     hard = gates.hardness(rows).select("id", "bucket")
     rows = cut(rows.select("id", quality(rows).alias("quality")).join(hard, "id"))
     return choose.balance(rows, total=rows.count() // 2).select("id", "bucket", "quality")

@@ -32,29 +32,29 @@ def joined(df: DataFrame, array: str, field: str, name: str) -> "F.Column":
 
 @query(f"WITH {D.RECORDS}, x AS (SELECT id, list_concat([{{'role': 'system', 'content': '{formats.SYSTEM}'}}], {MESSAGES}) AS m FROM r) SELECT id, array_to_string(list_transform(m, lambda t: coalesce(t.role, '')), chr(31)) AS roles, array_to_string(list_transform(m, lambda t: coalesce(t.content, '')), chr(31)) AS contents FROM x")
 def export_chatml(spark: SparkSession, d: str) -> DataFrame:
-    rows = formats.chatml(records(spark, d))
+    rows = formats.chatml(records(spark, d, "turns", "question", "answer"))
     return rows.select("id", joined(rows, "row.messages", "role", "roles"), joined(rows, "row.messages", "content", "contents"))
 
 
 @query(f"WITH {D.RECORDS}, x AS (SELECT id, {MESSAGES} AS m FROM r) SELECT id, array_to_string(list_transform(m, lambda t: CASE t.role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE coalesce(t.role, '') END), chr(31)) AS speakers, array_to_string(list_transform(m, lambda t: coalesce(t.content, '')), chr(31)) AS contents FROM x")
 def export_sharegpt(spark: SparkSession, d: str) -> DataFrame:
-    rows = formats.sharegpt(records(spark, d))
+    rows = formats.sharegpt(records(spark, d, "turns", "question", "answer"))
     return rows.select("id", joined(rows, "row.conversations", "from", "speakers"), joined(rows, "row.conversations", "value", "contents"))
 
 
 @query(f"WITH {D.RECORDS} SELECT id, question AS instruction, context AS input, answer AS output FROM r")
 def export_alpaca(spark: SparkSession, d: str) -> DataFrame:
-    return formats.alpaca(records(spark, d)).select("id", "row.instruction", "row.input", "row.output")
+    return formats.alpaca(records(spark, d, "question", "context", "answer")).select("id", "row.instruction", "row.input", "row.output")
 
 
 @query(f"WITH {D.RECORDS} SELECT id, question AS prompt, '{formats.SYSTEM}' AS system, answer AS chosen, rejected, rejection_mode FROM r WHERE coalesce(rejected, '') <> ''")
 def export_dpo(spark: SparkSession, d: str) -> DataFrame:
-    return formats.dpo(records(spark, d)).select("id", "row.*")
+    return formats.dpo(records(spark, d, "question", "answer", "rejected", "rejection_mode")).select("id", "row.*")
 
 
 @query(f"WITH {D.RECORDS} SELECT id, question, answer, len(tool_trace) AS steps, array_to_string(list_transform(tool_trace, lambda s: coalesce(s.action, '') || ':' || coalesce(s.action_input, '') || ':' || coalesce(s.observation, '') || ':' || coalesce(s.executed_ok, false)::VARCHAR), chr(31)) AS trace FROM r WHERE len(tool_trace) > 0")
 def export_react(spark: SparkSession, d: str) -> DataFrame:
-    rows = formats.react(records(spark, d))
+    rows = formats.react(records(spark, d, "question", "answer", "tool_trace", "tool_env"))
     text = lambda c: F.coalesce(c, F.lit(""))
     step = F.transform("row.trace", lambda s: F.concat_ws(":", text(s["action"]), text(s["action_input"]), text(s["observation"]), s["verified"].cast("string")))
     return rows.select("id", "row.question", "row.answer", F.size("row.trace").alias("steps"), F.array_join(step, "\x1f").alias("trace"))
@@ -62,13 +62,13 @@ def export_react(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {D.RECORDS} SELECT id, len(images) AS n_images, images[1] AS first_image FROM r WHERE len(images) > 0")
 def export_multimodal(spark: SparkSession, d: str) -> DataFrame:
-    rows = formats.multimodal(records(spark, d))
+    rows = formats.multimodal(records(spark, d, "images", "question", "answer"))
     return rows.select("id", F.size("row.images").alias("n_images"), F.get("row.images", F.lit(0)).alias("first_image"))
 
 
 @query(f"WITH {D.RECORDS} SELECT id, task, persona, difficulty, hops, coalesce(scores['quality'], 0.0) AS quality, prov.source AS source, array_to_string(prov.node_ids, ',') AS node_ids, prov.breadcrumb AS breadcrumb FROM r")
 def export_meta(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d)
+    rows = records(spark, d, "images", "task", "persona", "difficulty", "hops", "scores", "prov")
     m = rows.select(formats.meta(rows).alias("m")).select("m.*")
     return m.select("id", "task", "persona", "difficulty", "hops", "quality", "source", F.array_join("node_ids", ",").alias("node_ids"), "breadcrumb")
 
@@ -114,12 +114,12 @@ def sql_anti(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def trace_replay(spark: SparkSession, d: str) -> DataFrame:
     """Tool traces run again."""
-    return replay.replay_traces(records(spark, d))
+    return replay.replay_traces(records(spark, d, "context", "tool_trace", "tool_env"))
 
 
 @query()
 def trace_repair(spark: SparkSession, d: str) -> DataFrame:
-    return replay.repair_traces(records(spark, d)).select("id", "repaired")
+    return replay.repair_traces(records(spark, d, "context", "tool_trace", "tool_env")).select("id", "repaired")
 
 
 @query(f"WITH {D.CHUNKS}, t AS (SELECT id, grids, unnest(range(len(grids))) AS k FROM c WHERE len(grids) > 0 AND len(grids) = len(tables)), w AS (SELECT id, k, grids[k + 1] AS g, unnest(range(len(grids[k + 1]))) AS row FROM t WHERE len(grids[k + 1]) >= 2), y AS (SELECT id, k, row, g[row + 1] AS cells, unnest(range(len(g[row + 1]))) AS col FROM w) SELECT id, k, row, col, array_to_string(regexp_extract_all(cells[col + 1], '\\S+'), ' ') AS cell FROM y")

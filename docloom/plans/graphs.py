@@ -9,6 +9,7 @@ from docloom.operators import graph
 from docloom.plans import dialect as D
 from docloom.plans.registry import query
 from docloom.plans.text import chunks
+from docloom.session import cut
 
 NORMAL = r"regexp_replace(regexp_replace(lower(regexp_replace(name, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), '^[ .,:;()\[\]]+|[ .,:;()\[\]]+$', '', 'g')"
 STOP = ", ".join(f"'{w}'" for w in graph.STOP_TERMS)
@@ -45,7 +46,7 @@ def graph_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {D.CHUNKS}, {MENTIONS}, {FOLDED} SELECT key, dest AS canonical FROM vb")
 def graph_variants(spark: SparkSession, d: str) -> DataFrame:
-    return graph.variants(graph.mentions(chunks(spark, d))).withColumnRenamed("to", "canonical")
+    return graph.variants(cut(graph.mentions(chunks(spark, d)))).withColumnRenamed("to", "canonical")
 
 
 @query(f"WITH {GRAPH} SELECT src, dst, relation, chunk_id, weight FROM ed")

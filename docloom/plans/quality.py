@@ -46,33 +46,33 @@ def verdict(rows: DataFrame, gate) -> DataFrame:
 
 @query(gate_query("structural"))
 def gate_structural(spark: SparkSession, d: str) -> DataFrame:
-    return verdict(records(spark, d), gates.structural(F.col("question"), F.col("answer"), F.col("task")))
+    return verdict(records(spark, d, "question", "answer", "task"), gates.structural(F.col("question"), F.col("answer"), F.col("task")))
 
 
 @query(gate_query("standalone_question"))
 def gate_standalone(spark: SparkSession, d: str) -> DataFrame:
-    return verdict(records(spark, d), gates.standalone_question(F.col("question")))
+    return verdict(records(spark, d, "question"), gates.standalone_question(F.col("question")))
 
 
 @query(gate_query("shortcut_leakage"))
 def gate_shortcut(spark: SparkSession, d: str) -> DataFrame:
-    return verdict(records(spark, d), gates.shortcut_leakage(F.col("question"), F.col("answer")))
+    return verdict(records(spark, d, "question", "answer"), gates.shortcut_leakage(F.col("question"), F.col("answer")))
 
 
 @query(gate_query("lexical_grounding"))
 def gate_lexical(spark: SparkSession, d: str) -> DataFrame:
-    return verdict(records(spark, d), gates.lexical_grounding(T.generated_text(F.col("turns"), F.col("answer")), F.col("context")))
+    return verdict(records(spark, d, "turns", "answer", "context"), gates.lexical_grounding(T.generated_text(F.col("turns"), F.col("answer")), F.col("context")))
 
 
 @query(gate_query("numeric_grounding"))
 def gate_numeric(spark: SparkSession, d: str) -> DataFrame:
     said = T.generated_text(F.col("turns"), F.col("answer"))
-    return verdict(records(spark, d), gates.numeric_grounding(said, gates.supported_numbers(F.col("context"), F.col("tool_trace"))))
+    return verdict(records(spark, d, "turns", "answer", "context", "tool_trace"), gates.numeric_grounding(said, gates.supported_numbers(F.col("context"), F.col("tool_trace"))))
 
 
 @query(gate_query("turn_coherence"))
 def gate_turns(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d).where("size(turns) > 0")
+    rows = records(spark, d, "turns", "context").where("size(turns) > 0")
     return verdict(rows, gates.turn_coherence(F.col("turns"), F.col("context")))
 
 
@@ -88,7 +88,7 @@ def all_gates() -> str:
 @query(f"WITH {D.RECORDS}, g AS ({all_gates()}) SELECT id, round(sum(CASE WHEN passed THEN w * score ELSE 0.0 END) / sum(w), 4) AS quality, count(*) FILTER (NOT passed) AS failed FROM g GROUP BY id")
 def cheap_quality(spark: SparkSession, d: str) -> DataFrame:
     """The quality score from the gates that need no model."""
-    rows = gates.cheap_gates(records(spark, d)).select("id", "gates")
+    rows = gates.cheap_gates(records(spark, d, "question", "answer", "task", "context", "turns", "tool_trace", "images")).select("id", "gates")
     return rows.select("id", gates.quality_score(F.col("gates")).alias("quality"), F.size(F.filter("gates", lambda g: ~g["passed"])).cast("bigint").alias("failed"))
 
 
@@ -100,12 +100,12 @@ HARDNESS = f"""h AS (SELECT id, task, coalesce(hops, 0) AS hops, round({D.entrop
 
 @query(f"WITH {D.RECORDS}, {HARDNESS} SELECT * FROM hard")
 def hardness(spark: SparkSession, d: str) -> DataFrame:
-    return gates.hardness(records(spark, d))
+    return gates.hardness(records(spark, d, "task", "hops", "question", "answer", "context"))
 
 
 @query(f"WITH {D.RECORDS} SELECT 'difficulty' AS axis, coalesce(difficulty, 'null') AS value, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'task', coalesce(task, 'null'), count(*) FROM r GROUP BY ALL UNION ALL SELECT 'persona', coalesce(persona, 'null'), count(*) FROM r GROUP BY ALL")
 def composition(spark: SparkSession, d: str) -> DataFrame:
-    return audit.composition(records(spark, d))
+    return audit.composition(records(spark, d, "difficulty", "task", "persona"))
 
 
 QUALITY = "coalesce(scores['quality'], 0.0)"
@@ -113,17 +113,17 @@ QUALITY = "coalesce(scores['quality'], 0.0)"
 
 @query(f"WITH {D.RECORDS} SELECT count(*) AS n, round(avg({QUALITY}), 4) AS quality_mean, round(min({QUALITY}), 4) AS quality_min, round(max({QUALITY}), 4) AS quality_max FROM r")
 def quality_summary(spark: SparkSession, d: str) -> DataFrame:
-    return audit.quality_summary(records(spark, d))
+    return audit.quality_summary(records(spark, d, "scores"))
 
 
 @query(f"WITH {D.RECORDS}, v AS (SELECT unnest(prov.verification) AS v FROM r) SELECT v.stage AS stage, count(*) FILTER (NOT coalesce(v.inconclusive, false) AND v.passed) AS passed, count(*) FILTER (NOT coalesce(v.inconclusive, false) AND NOT v.passed) AS failed, count(*) FILTER (coalesce(v.inconclusive, false)) AS inconclusive FROM v GROUP BY 1")
 def gate_counts(spark: SparkSession, d: str) -> DataFrame:
-    return audit.gate_counts(records(spark, d))
+    return audit.gate_counts(records(spark, d, "prov"))
 
 
 @query(f"WITH {D.RECORDS}, f AS (SELECT unnest(flags) AS f FROM r) SELECT substr(f, 8) AS reason, count(*) AS n FROM f WHERE f LIKE 'reject:%' GROUP BY 1")
 def rejections(spark: SparkSession, d: str) -> DataFrame:
-    return audit.rejections(records(spark, d))
+    return audit.rejections(records(spark, d, "flags"))
 
 
 ACCEPTED = "len(list_filter(coalesce(flags, []), lambda f: starts_with(coalesce(f, ''), 'reject:'))) = 0"
@@ -131,27 +131,27 @@ ACCEPTED = "len(list_filter(coalesce(flags, []), lambda f: starts_with(coalesce(
 
 @query(f"WITH {D.RECORDS} SELECT task, count(*) AS generated, count(*) FILTER ({ACCEPTED}) AS verified, count(*) FILTER ({ACCEPTED} AND {QUALITY} >= 0.55) AS kept FROM r GROUP BY task")
 def yields(spark: SparkSession, d: str) -> DataFrame:
-    return audit.yields(records(spark, d))
+    return audit.yields(records(spark, d, "task", "flags", "scores"))
 
 
 @query(f"WITH {D.RECORDS}, f AS (SELECT task, unnest(flags) AS f FROM r), g AS (SELECT task, substr(f, 8) AS reason, count(*) AS n FROM f WHERE f LIKE 'reject:%' GROUP BY ALL) SELECT task, reason, n, row_number() OVER (PARTITION BY task ORDER BY n DESC, reason) AS rank FROM g QUALIFY rank <= 3")
 def top_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return audit.top_reasons(records(spark, d))
+    return audit.top_reasons(records(spark, d, "task", "flags"))
 
 
 @query(f"WITH {D.RECORDS} SELECT source, count(*) AS n FROM (SELECT unnest(CASE WHEN len(prov.sources) > 0 THEN prov.sources ELSE [prov.source] END) AS source FROM r WHERE prov IS NOT NULL) GROUP BY source")
 def source_counts(spark: SparkSession, d: str) -> DataFrame:
-    return audit.sources(records(spark, d))
+    return audit.sources(records(spark, d, "prov"))
 
 
 @query(f"WITH {D.RECORDS} SELECT count(*) AS n, count(*) FILTER (coalesce(rejected, '') <> '') AS with_rejected, count(*) FILTER (len(images) > 0) AS with_images, count(*) FILTER (len(tool_trace) > 0) AS with_trace, count(*) FILTER (len(turns) > 0) AS multi_turn, round(avg(length(coalesce(answer, ''))), 1) AS mean_answer_chars FROM r")
 def feature_counts(spark: SparkSession, d: str) -> DataFrame:
-    return audit.features(records(spark, d))
+    return audit.features(records(spark, d, "rejected", "images", "tool_trace", "turns", "answer"))
 
 
 @query(f"WITH {D.RECORDS}, s AS (SELECT list_sort(list({QUALITY})) AS q FROM r) SELECT x AS share, q[1 + least(len(q) - 1, floor(x * len(q))::BIGINT)] AS value FROM s, (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS x)")
 def quality_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d)
+    rows = records(spark, d, "scores")
     return audit.element_percentiles(rows.select(quality(rows).alias("q")), "q")
 
 

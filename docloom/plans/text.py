@@ -13,8 +13,10 @@ from docloom.plans.registry import query
 from docloom.session import cut, table
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "records").where("id is not null"), "id", "loaded_at")
+def records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """One row an id. The columns are named where a query needs few of them: what the latest row is made of is read whole."""
+    rows = table(spark, d, "records").where("id is not null")
+    return latest(rows.select("id", "loaded_at", *columns) if columns else rows, "id", "loaded_at")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +73,7 @@ NUMERIC = "(CASE WHEN len(v) = 0 THEN 1.0 ELSE len(list_filter(v, lambda x: len(
 @query(f"WITH {D.RECORDS} SELECT id, round({F1}, 6) AS f1, round({NUMERIC}, 6) AS numeric FROM (SELECT id, {D.terms('rejected')} AS a, {D.terms('answer')} AS b, {D.numbers('rejected')} AS u, {D.numbers('answer')} AS v FROM r WHERE rejection_mode IS NOT NULL)")
 def answer_agreement(spark: SparkSession, d: str) -> DataFrame:
     """How far a rejected answer agrees with the answer, in terms and in numbers."""
-    rows = records(spark, d).where("rejection_mode is not null")
+    rows = records(spark, d, "rejected", "answer", "rejection_mode").where("rejection_mode is not null")
     return audit.grades(rows, "rejected", "answer").select("id", "f1", "numeric")
 
 
@@ -96,7 +98,7 @@ def chunk_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {D.RECORDS}, {link_sql('r', 'id', 'question', 0.8)} SELECT m.id, k.cls AS first_id, count(*) OVER (PARTITION BY k.cls) AS copies, coalesce(t.links, 0) AS links FROM m JOIN k USING (h) LEFT JOIN t ON k.cls = t.cls")
 def question_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return kept_columns(dedup.lexical_dedup(records(spark, d), "id", "question", "id", 0.8), "id")
+    return kept_columns(dedup.lexical_dedup(records(spark, d, "question"), "id", "question", "id", 0.8), "id")
 
 
 @query()
@@ -108,7 +110,7 @@ def chunks_kept(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def questions_kept(spark: SparkSession, d: str) -> DataFrame:
     """Questions that stay, in the order they were loaded."""
-    return dedup.lexical_dedup(records(spark, d), "id", "question", "loaded_at", 0.8).where("kept").select("id")
+    return dedup.lexical_dedup(records(spark, d, "question"), "id", "question", "loaded_at", 0.8).where("kept").select("id")
 
 
 #: 2025-10-01 in UTC, in seconds.
@@ -124,5 +126,5 @@ SPLIT_SECOND = 1_759_276_800
 )
 def new_questions(spark: SparkSession, d: str) -> DataFrame:
     """Records loaded since a date whose question is no near-duplicate of an earlier one."""
-    rows = cut(records(spark, d).where("loaded_at is not null").select("id", "question", (F.unix_micros("loaded_at") >= SPLIT_SECOND * 1_000_000).alias("fresh")))
+    rows = cut(records(spark, d, "question").where("loaded_at is not null").select("id", "question", (F.unix_micros("loaded_at") >= SPLIT_SECOND * 1_000_000).alias("fresh")))
     return dedup.new_rows(rows.where("fresh").select("id", "question"), rows.where("not fresh").select(F.col("question").alias("known")), "id", "question", "known").select("id")
