@@ -43,8 +43,3 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="docloom-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def count_of(df: DataFrame) -> int:
-    """Rows of a frame that is cheap to count (a cut frame or an aggregate)."""
-    return df.count()
