@@ -2,9 +2,9 @@
 
 A record is a unit vector: hashed words of its question weighted by rarity over all records, next to its difficulty and task.
 The kernel of two records is a power of their cosine, and a subset's determinant grows with its variety; similar records add
-next to nothing once one of them is in. Rows are dealt to parts by hash; each part's greedy choice is its core-set; core-sets
-are dealt and reduced again until one part holds them, and a last greedy pass picks the subset. Each pass updates a Cholesky
-factor by one column a choice.
+next to nothing once one of them is in. Rows are dealt to parts by hash; each part's greedy choice of at least the subset's
+size is its core-set; core-sets are dealt and reduced again until one part holds them, and a last greedy pass picks the
+subset. Each pass updates a Cholesky factor by one column a choice.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from docloom.functions.text import word_list
 from docloom.llm.sampling import category_key
 from docloom.session import cut
 
-#: Word dimensions, word classes that are counted, weights of difficulty and task, rows of a part, most rows of a core-set.
+#: Word dimensions, word classes that are counted, weights of difficulty and task, least rows of a part and of a core-set.
 WIDTH, CLASSES, SIDE, PART, CORE = 192, 1 << 15, (0.45, 0.35), 16_384, 256
 
 
@@ -76,7 +76,8 @@ def varied_subset(records: DataFrame, size: int | None = None, key: str = "id",
 
     Every row of the table takes part; a key that repeats counts once, null keys are left out. Null or blank texts are rows
     without words, null categories a category of their own; spellings of one category count together. If fewer rows have
-    anything new, fewer come out. `part` bounds what a task holds, `core` what it hands on; neither grows with the data.
+    anything new, fewer come out. Every part hands on `size` rows, at least `core`, and holds `part` rows or, if that is more,
+    four times what it hands on; so each pass chooses among more rows than it returns.
     """
     word_classes = F.transform(F.array_distinct(word_list(F.col(f"`{text}`"))), lambda w: F.pmod(F.xxhash64(w), F.lit(CLASSES)).cast("int"))
     rows = records.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.struct(word_classes.alias("w"), F.coalesce(category_key(F.col(f"`{difficulty}`")), F.lit("")).alias("d"), F.coalesce(category_key(F.col(f"`{task}`")), F.lit("")).alias("t")).alias("x"))
@@ -99,16 +100,13 @@ def varied_subset(records: DataFrame, size: int | None = None, key: str = "id",
         return out
 
     schema = f"key {kind}, w array<int>, d string, t string, rank int, gain double"
+    hand_on = max(size, core)
+    held = max(part, 4 * hand_on)
     turn, left = 0, total
-    while left > part:
-        parts = math.ceil(left / part)
-        hand_on = max(min(size, core), math.ceil(size / parts))
-        dealt = rows.withColumn("part", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(parts)))
-        reduced = cut(dealt.groupBy("part").applyInPandas(at_most(choose, hand_on), schema).select("key", "w", "d", "t"))
-        fewer = reduced.count()
-        rows, turn = reduced, turn + 1
-        if fewer >= left:
-            break
-        left = fewer
+    # Parts hold four times what they hand on, so a pass leaves at most half of the rows.
+    while left > held:
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(math.ceil(left / held))))
+        rows = cut(dealt.groupBy("part").applyInPandas(at_most(choose, hand_on), schema).select("key", "w", "d", "t"))
+        left, turn = rows.count(), turn + 1
     final = rows.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(at_most(choose, size), schema)
     return final.select(F.col("key").alias(key), "rank", "gain", F.col("d").alias(difficulty), F.col("t").alias(task))

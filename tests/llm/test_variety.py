@@ -51,6 +51,17 @@ def test_parts_give_core_sets(spark):
     assert {r["id"] for r in out} == {r["id"] for r in again}
 
 
+def test_copies_split_over_parts_do_not_come_out(spark):
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(8)) for _ in range(300)]
+    df = spark.createDataFrame([(f"{c}{i:03d}", t, "simple", "qa", 1) for i, t in enumerate(texts) for c in "abcdef"], SCHEMA)
+    out = varied_subset(df, 150, part=200, core=20).collect()
+    assert len(out) == 150 == len({texts[int(r["id"][1:])] for r in out})
+    # The determinant is nearly that of one greedy pass over all rows.
+    whole = varied_subset(df, 150, part=10_000).collect()
+    assert sum(np.log(r["gain"]) for r in out) >= sum(np.log(r["gain"]) for r in whole) - 1
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [("a", None, None, None, 1), ("a", None, None, None, 1), ("b", "", "x", None, 1), (None, "q", "x", "y", 1), ("c", "word " * 50_000, None, "t", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
