@@ -46,15 +46,16 @@ def terms(text: Column) -> Column:
     return F.filter(raw, lambda t: (F.length(t) > 1) & ~t.isin(STOP))
 
 
-def shingles(text: Column, k: int = 5) -> Column:
-    """Distinct runs of k words of [a-z0-9]+; a shorter text is one run, an empty one none."""
+def shingles(text: Column, k: int = 5, ascii: bool = False) -> Column:
+    """Distinct runs of k words; a shorter text is one run, an empty one none. With `ascii` only [a-z0-9]+ are words, as in
+    the reference."""
 
     def runs(words: Column) -> Column:
         last = F.greatest(F.size(words) - (k - 1), F.lit(1))
         made = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, k), " "))
         return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(made))
 
-    return let(F.regexp_extract_all(F.lower(text_of(text)), F.lit("[a-z0-9]+"), F.lit(0)), runs)
+    return let(F.regexp_extract_all(F.lower(text_of(text)), F.lit("[a-z0-9]+"), F.lit(0)) if ascii else word_list(text), runs)
 
 
 def numbers(text: Column) -> Column:

@@ -38,7 +38,7 @@ def token_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, len({D.shingles('text')}) AS n_shingles FROM documents")
 def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(T.shingles(F.col("text"))).alias("n_shingles"))
+    return table(spark, d, "documents").select("doc_id", F.size(T.shingles(F.col("text"), ascii=True)).alias("n_shingles"))
 
 
 @query(f"SELECT doc_id, len(x) AS n_numbers, round(coalesce(list_sum(x), 0), 4) AS total FROM (SELECT doc_id, {D.numbers('text')} AS x FROM documents)")
@@ -93,12 +93,12 @@ def kept_columns(out: DataFrame, key: str) -> DataFrame:
 @query(f"WITH {D.CHUNKS}, {link_sql('c', 'id', 'text', 0.85)} SELECT m.id, k.cls AS first_id, count(*) OVER (PARTITION BY k.cls) AS copies, coalesce(t.links, 0) AS links FROM m JOIN k USING (h) LEFT JOIN t ON k.cls = t.cls")
 def chunk_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk with its class of equal shingles and the number of classes at least .85 similar."""
-    return kept_columns(dedup.lexical_dedup(chunks(spark, d), "id", "text", "id", 0.85), "id")
+    return kept_columns(dedup.lexical_dedup(chunks(spark, d), "id", "text", "id", 0.85, ascii=True), "id")
 
 
 @query(f"WITH {D.RECORDS}, {link_sql('r', 'id', 'question', 0.8)} SELECT m.id, k.cls AS first_id, count(*) OVER (PARTITION BY k.cls) AS copies, coalesce(t.links, 0) AS links FROM m JOIN k USING (h) LEFT JOIN t ON k.cls = t.cls")
 def question_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return kept_columns(dedup.lexical_dedup(records(spark, d, "question"), "id", "question", "id", 0.8), "id")
+    return kept_columns(dedup.lexical_dedup(records(spark, d, "question"), "id", "question", "id", 0.8, ascii=True), "id")
 
 
 @query()
@@ -127,4 +127,4 @@ SPLIT_SECOND = 1_759_276_800
 def new_questions(spark: SparkSession, d: str) -> DataFrame:
     """Records loaded since a date whose question is no near-duplicate of an earlier one."""
     rows = cut(records(spark, d, "question").where("loaded_at is not null").select("id", "question", (F.unix_micros("loaded_at") >= SPLIT_SECOND * 1_000_000).alias("fresh")))
-    return dedup.new_rows(rows.where("fresh").select("id", "question"), rows.where("not fresh").select(F.col("question").alias("known")), "id", "question", "known").select("id")
+    return dedup.new_rows(rows.where("fresh").select("id", "question"), rows.where("not fresh").select(F.col("question").alias("known")), "id", "question", "known", ascii=True).select("id")
