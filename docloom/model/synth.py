@@ -38,7 +38,8 @@ def records_from(asked: DataFrame, task: str) -> DataFrame:
 
 def chunk_inputs(chunks: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
-    context = F.concat_ws("\n\n", "text", F.when(F.size(F.coalesce("tables", none)) > 0, F.array_join("tables", "\n")))
+    refs = F.col("resolved_refs") if "resolved_refs" in chunks.columns else F.lit(None).cast("string")
+    context = F.concat_ws("\n\n", "text", F.when(F.size(F.coalesce("tables", none)) > 0, F.array_join("tables", "\n")), F.when(refs != "", F.concat(F.lit("Resolved references:\n"), refs)))
     return chunks.select("id", "source", F.array("source").alias("sources"), context.alias("context"), F.coalesce("node_ids", none).alias("node_ids"), "breadcrumb")
 
 

@@ -93,6 +93,15 @@ def references(nodes: DataFrame) -> DataFrame:
     return bound.where("target is null or target <> ord").select("doc_id", "ord", "kind", "key", "target", F.col("target").isNotNull().alias("resolved"))
 
 
+def resolved_bodies(nodes: DataFrame) -> DataFrame:
+    """(doc_id, ord, refs): for each block with resolved references a line for each, with the whole body of its target."""
+    filled = lambda c: F.when(T.text_of(F.col(c)) != "", F.trim(c))
+    targets = nodes.select("doc_id", F.col("ord").alias("target"), "node_id", F.coalesce(filled("tbl.html"), filled("text"), filled("caption"), F.lit("")).alias("body"))
+    bound = references(nodes).where("resolved").join(targets, ["doc_id", "target"])
+    line = F.concat(F.lit("["), "kind", F.lit(" "), "key", F.lit(" -> "), "node_id", F.lit("] "), "body")
+    return bound.groupBy("doc_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("target", "kind", "key", line.alias("line")))), lambda x: x["line"]).alias("refs"))
+
+
 def pack_sections(nodes: DataFrame, most: int = 900, least: int = 60) -> DataFrame:
     """(doc_id, section, chunk, first_ord, last_ord, blocks, tokens): blocks of each section packed greedily in order.
 

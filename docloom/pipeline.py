@@ -26,13 +26,14 @@ PROV = "struct<source:string,sources:array<string>,node_ids:array<string>,pages:
 
 
 def chunks_of(nodes: DataFrame, most: int = 900, least: int = 60) -> DataFrame:
-    """Chunks of document trees: blocks packed along sections, with the breadcrumb before the text and what the blocks hold."""
+    """Chunks of document trees: blocks packed along sections, with the breadcrumb before the text, what the blocks hold and what they refer to."""
     packed = tree.pack_sections(nodes, most, least)
     blocks = nodes.where(~F.col("kind").isin("heading", "document")).withColumn("section", F.coalesce("parent_ord", F.lit(-1)))
     inside = blocks.join(packed.select("doc_id", "section", "chunk", "first_ord", "last_ord"), ["doc_id", "section"]).where("ord between first_ord and last_ord")
     label = F.concat(F.lit("["), "node_id", F.lit("] "))
     shown = F.when(F.col("kind") == "table", F.concat(label, T.text_of(F.col("caption")), F.lit("\n"), T.text_of(F.col("text")))).when(F.col("kind") == "equation", F.concat(label, T.text_of(F.col("text")))).otherwise(T.text_of(F.col("text")))
-    parts = inside.groupBy("doc_id", "section", "chunk").agg(F.array_sort(F.collect_list(F.struct("ord", shown.alias("t"), "kind", "node_id", "page", "anchor", "tbl", F.col("equation.latex").alias("latex"), "breadcrumb"))).alias("b"))
+    inside = inside.join(tree.resolved_bodies(nodes), ["doc_id", "ord"], "left")
+    parts = inside.groupBy("doc_id", "section", "chunk").agg(F.array_sort(F.collect_list(F.struct("ord", shown.alias("t"), "kind", "node_id", "page", "anchor", "tbl", F.col("equation.latex").alias("latex"), "breadcrumb", "refs"))).alias("b"))
     names = nodes.where("kind = 'document'").select("doc_id", F.col("text").alias("title"))
     heads = nodes.where("kind in ('heading', 'document')").select("doc_id", F.col("ord").alias("section"), F.col("text").alias("own"))
     rows = parts.join(heads, ["doc_id", "section"], "left").join(names, "doc_id", "left")
@@ -41,11 +42,12 @@ def chunks_of(nodes: DataFrame, most: int = 900, least: int = 60) -> DataFrame:
     body = F.array_join(F.filter(F.transform("b", lambda x: F.trim(x["t"])), lambda t: t != ""), "\n\n")
     text = F.concat_ws("\n\n", F.when(F.col("breadcrumb") != "", F.col("breadcrumb")), body)
     held = lambda kind, get: F.filter(F.transform(F.filter("b", lambda x: x["kind"] == kind), get), lambda v: v.isNotNull())
+    refs = F.array_distinct(F.flatten(F.filter(F.transform("b", lambda x: x["refs"]), lambda r: r.isNotNull())))
     return rows.select(
         T.chunk_id(F.col("doc_id"), text).alias("id"), "doc_id", text.alias("text"), F.when((F.size("b") == 1) & (F.get("b", F.lit(0))["kind"] == "table"), "table").otherwise("section").alias("kind"),
         F.col("doc_id").alias("source"), "breadcrumb", "section_path", F.transform("b", lambda x: x["node_id"]).alias("node_ids"), F.array_sort(F.array_distinct(F.filter(F.transform("b", lambda x: x["page"]), lambda p: p.isNotNull()))).alias("pages"),
         F.transform("b", lambda x: x["anchor"]).alias("anchors"), held("table", lambda x: x["tbl"]["html"]).alias("tables"), held("table", lambda x: x["tbl"]["grid"]).alias("grids"), held("equation", lambda x: x["latex"]).alias("equations"),
-        held("figure", lambda x: x["node_id"]).alias("figures"), F.lit(None).cast("string").alias("resolved_refs"), T.token_estimate(text).alias("tokens"),
+        held("figure", lambda x: x["node_id"]).alias("figures"), F.when(F.size(refs) > 0, F.array_join(refs, "\n")).alias("resolved_refs"), T.token_estimate(text).alias("tokens"),
     )
 
 
@@ -87,7 +89,7 @@ class Pipeline:
 
     def chunk(self, nodes: DataFrame) -> DataFrame:
         c = self.config.chunking
-        made = self.stage("chunks", [content_fingerprint(nodes.select("doc_id", "ord", "text")), asdict(c)], lambda: chunks_of(nodes, c.max_tokens, c.min_tokens).dropDuplicates(["id"]))
+        made = self.stage("chunks", ["refs", content_fingerprint(nodes.select("doc_id", "ord", "kind", "text", "caption", "tbl.html", "equation.number")), asdict(c)], lambda: chunks_of(nodes, c.max_tokens, c.min_tokens).dropDuplicates(["id"]))
         kept = dedup.lexical_dedup(made, "id", "text", "id", c.dedup_threshold).where("kept").select("id")
         return cut(made.join(kept, "id", "left_semi"))
 
@@ -101,7 +103,7 @@ class Pipeline:
             "multiturn": lambda: synth.generate_dialogues(chunks, self.backend),
         }
         parts, errors = [], {}
-        key = content_fingerprint(chunks.select("id", "text"))
+        key = content_fingerprint(chunks.select("id", "text", "resolved_refs"))
         for task in g.tasks:
             make = makers.get(task) or (lambda f=registry.TASKS.get(task): f(self.spark, chunks, found, known, edges, self.backend) if f else None)
             if task not in makers and task not in registry.TASKS:

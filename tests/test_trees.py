@@ -5,7 +5,9 @@ import zipfile
 import pytest
 
 from docloom.functions.latex import validate
+from docloom.model import synth
 from docloom.operators import tree
+from docloom.pipeline import chunks_of
 from docloom.sources import files
 from docloom.sources.builder import ParseError
 from docloom.sources.parsers import PARSERS, decoded, docx, epub, notebook
@@ -166,3 +168,16 @@ def test_packing_equals_the_loop(spark, most, least):
         expected += [(s, k, b[0][0], b[-1][0], len(b), sum(x for _, x in b)) for k, b in enumerate(merged)]
     got = tree.pack_sections(df, most, least).collect()
     assert sorted((r["section"], r["chunk"], r["first_ord"], r["last_ord"], r["blocks"], r["tokens"]) for r in got) == sorted(expected)
+
+
+def test_chunks_hold_what_they_refer_to(spark, tmp_path):
+    (tmp_path / "p.md").write_text(PAPER)
+    (tmp_path / "plain.md").write_text("# Other\n\nNothing is mentioned here, and Table 9 is nowhere.\n")
+    nodes, _ = files.read_documents(spark, str(tmp_path))
+    chunks = chunks_of(nodes, 900, 1).cache()
+    refs = {r["text"]: r["resolved_refs"] for r in chunks.collect()}
+    intro = next(r for t, r in refs.items() if "Intro that" in t)
+    assert "[table 1 -> " in intro and "<td>bolt</td><td>1,200</td>" in intro and intro.rstrip().endswith("2 Results")
+    assert next(r for t, r in refs.items() if "Nothing" in t) is None
+    context = next(r["context"] for r in synth.chunk_inputs(chunks).collect() if "Intro that" in r["context"])
+    assert context.endswith("Resolved references:\n" + intro)
