@@ -105,23 +105,28 @@ def file_groups(records: DataFrame, small: int = 200_000) -> tuple[DataFrame, Da
     return named, keys.join(linked, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
 
 
-#: Files up to which a component's pairs are written out.
-EXPAND = 2000
+#: Members of a component that one block of the join of its pairs holds, about.
+BLOCK = 2000
 
 
-def linked_files(records: DataFrame, files: DataFrame, small: int = 200_000, expand: int = EXPAND) -> DataFrame:
+def linked_files(records: DataFrame, files: DataFrame, small: int = 200_000, expand: int | None = None, block: int = BLOCK) -> DataFrame:
     """(source_a, source_b), source_a < source_b: every pair of files of the registry in one component. Names that are not in
-    the registry link others but come out in no pair. A component of more than `expand` files is given by the pairs of its
-    smallest file with every other, from which the rest follows."""
+    the registry link others but come out in no pair. With `expand`, a component of more files is given by the pairs of its
+    smallest file with every other, from which the rest follows. Large components are joined in pairs of blocks of members."""
     _, groups = file_groups(records, small)
     registry = files.where("source is not null").select("source", file_key(F.col("source")).alias("key")).distinct()
     placed = registry.join(groups, "key").select("root", "source")
     sizes = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("source").alias("head"))
     sized = placed.join(sizes.where("n > 1"), "root")
-    stars = sized.where((F.col("n") > expand) & (F.col("source") > F.col("head"))).select(F.col("head").alias("source_a"), F.col("source").alias("source_b"))
-    few = sized.where(F.col("n") <= expand).select("root", "source")
-    left, right = few.withColumnRenamed("source", "source_a"), few.withColumnRenamed("source", "source_b")
-    return left.join(right, "root").where("source_a < source_b").select("source_a", "source_b").unionByName(stars)
+    few = sized if expand is None else sized.where(F.col("n") <= expand)
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    few = few.select("root", "source", F.pmod(F.xxhash64("source"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    left = few.select("root", F.col("own").alias("i"), F.col("other").alias("j"), F.col("source").alias("source_a"))
+    right = few.select("root", F.col("other").alias("i"), F.col("own").alias("j"), F.col("source").alias("source_b"))
+    pairs = left.join(right, ["root", "i", "j"]).where("source_a < source_b").select("source_a", "source_b")
+    if expand is None:
+        return pairs
+    return pairs.unionByName(sized.where((F.col("n") > expand) & (F.col("source") > F.col("head"))).select(F.col("head").alias("source_a"), F.col("source").alias("source_b")))
 
 
 def running_total(sizes: DataFrame, weight: str) -> DataFrame:

@@ -54,6 +54,13 @@ def test_linked_files(spark):
     assert star == {("a.pdf", "b.pdf"), ("a.pdf", "c.pdf"), ("d.pdf", "e.pdf")}
 
 
+def test_pairs_of_a_large_component_are_all_there(spark):
+    names = [f"f{i:04d}.pdf" for i in range(2100)]
+    df, files = spark.createDataFrame([("r", ("f0000.pdf", names), 1)], RECORD), spark.createDataFrame([(n,) for n in names], "source string")
+    out = linked_files(df, files).where("source_a < source_b")
+    assert out.count() == out.distinct().count() == 2100 * 2099 // 2
+
+
 def test_split_keeps_groups_together_and_meets_shares(spark):
     draw = random.Random(5)
     rows = [(f"r{i}", ("hot.pdf", []) if i % 3 == 0 else (f"f{draw.randrange(900)}.pdf", [f"f{draw.randrange(900)}.pdf"] if i % 29 == 0 else []), 0) for i in range(3000)]
