@@ -4,7 +4,7 @@ Each source's documents, in the order of their hash, form one stream of tokens t
 plan gives each source its share of the blocks to draw, no source more than its blocks times its repeats; what a source can't
 give goes to the others by weight. The output is dealt in shards: a multinomial draw gives each shard its number of blocks of
 each source, and a slot's position among all draws of its source is mapped to a block by a pseudorandom permutation of the
-source's block numbers, one pass of the permutation after another. Slots and blocks meet in one equi-join.
+source's block numbers, one pass of the permutation after another. Slots and blocks meet in one sort-merge join.
 """
 
 from __future__ import annotations
@@ -150,7 +150,8 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
                 yield pd.DataFrame({"shard": shard, "slot": slots_, "source": [names[s] for s in source], "block": block_no, "repeat": repeat})[valid]
 
     drawn_slots = starts.select("shard", "k", "n", "slot", "first").mapInPandas(slot_rows, "shard bigint, slot bigint, source string, block bigint, repeat bigint")
-    rows = drawn_slots.join(blocks_of(kept, block), ["source", "block"]).select("shard", "slot", "source", "repeat", "doc_id", "begin", "tokens")
+    # The slots are made from a small table, so their number can't be estimated: without the hint they would all be broadcast.
+    rows = drawn_slots.hint("merge").join(blocks_of(kept, block), ["source", "block"]).select("shard", "slot", "source", "repeat", "doc_id", "begin", "tokens")
     whole = sum(given.values())
     table = spark.createDataFrame([(s, w, r, int(available.get(s, 0)), given[s] + 1 >= w * whole and (w == 0 or given[s] > 0)) for s, (w, r) in weights.items()], "source string, weight double, max_repeats int, available_tokens bigint, met boolean")
     got = rows.groupBy("source").agg(F.sum("tokens").alias("drawn_tokens"), (F.max("repeat") + 1).alias("repeats"))

@@ -78,3 +78,14 @@ def test_empty(spark):
     rows, report = mixture(df.limit(0), targets)
     assert rows.count() == 0 and report.count() == 5
     assert mixture(df, targets.limit(0))[0].count() == 0
+
+
+def test_slots_are_never_broadcast(spark):
+    sizes = spark.range(200_000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "2000L AS tokens")
+    targets = spark.createDataFrame([("s0", 0.5, 2), ("s1", 0.3, 1), ("s2", 0.2, 1)], "source string, weight double, max_repeats int")
+    rows, _ = mixture(sizes, targets)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    slots = [line for line in plan.split("\n") if "slot_rows" in line]
+    above = plan.split("slot_rows")[0]
+    assert slots and "BroadcastHashJoin" not in above and "BroadcastExchange" not in above
