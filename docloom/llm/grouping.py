@@ -3,21 +3,27 @@
 Files are the vertices, and a record links the files it names. Components are found by breadth-first expansion of many seeds at
 once: every vertex whose hash is the smallest among its neighbours is a seed, frontiers grow by one join a round on hash-
 partitioned adjacency lists, and an edge between two seeds' territories is a collision. Collisions make a smaller graph of
-seeds, which is treated the same way; it has at most half the vertices. A graph of at most `small` edges is finished in one
-task. Nothing of this is collected to the driver.
+seed labels, with at most half the vertices: it is finished in one task if it has at most `small` edges, else treated the same
+way. Every graph goes through the frontiers first, whatever its size. Nothing of this is collected to the driver.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.session import cut
 
+log = logging.getLogger("docloom.llm")
+#: Edges of a graph of collided seeds that one task finishes.
+SMALL = 200_000
 #: Hash buckets over which cumulated sizes are taken in two steps.
 BUCKETS = 4096
 #: A component with this share of all records or more is placed by itself; there can be at most 1 / HEAVY of them.
@@ -69,35 +75,49 @@ def one_task(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInPandas(work, f"v {kind}, root {kind}")
 
 
-def components(edges: DataFrame, small: int = 200_000) -> DataFrame:
-    """(v, root): every vertex of the edges (a, b) with a vertex that stands for its component. Loops, repeated and null edges
-    are allowed and change nothing; a vertex only in loops is its own component."""
-    edges = cut(edges.where("a is not null and b is not null").select("a", "b").distinct())
-    if edges.count() <= small:
-        return one_task(edges)
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both.distinct())
+def territories(edges: DataFrame) -> DataFrame:
+    """(v, seed): every vertex with the seed whose frontier reached it first.
+
+    The adjacency lists are dealt to partitions by the hash of their vertex once and stay there; only frontiers travel, and what
+    a round reached is appended to what earlier rounds did, never written again.
+    """
+    lists = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a").persist(StorageLevel.DISK_ONLY)
     order = F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))
-    least = both.groupBy("a").agg(F.min(order).alias("m"))
     mine = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("v"))
     # Seeds have the smallest hash of their neighbourhood; the rest joins them frontier by frontier.
-    seeds = least.where(mine <= F.col("m")).select(F.col("a").alias("v"), F.col("a").alias("seed"))
-    reached = cut(seeds)
-    frontier = reached
-    while True:
-        step = frontier.join(both, F.col("v") == F.col("a")).select(F.col("b").alias("v"), "seed")
-        frontier = cut(step.join(reached, "v", "left_anti").groupBy("v").agg(F.min("seed").alias("seed")))
-        if frontier.isEmpty():
-            break
-        reached = cut(reached.unionByName(frontier))
+    least = lists.groupBy("a").agg(F.min(order).alias("m"))
+    frontier = cut(least.where(mine <= F.col("m")).select(F.col("a").alias("v"), F.col("a").alias("seed")))
+    rounds = []
+    while not frontier.isEmpty():
+        rounds.append(frontier)
+        step = frontier.join(lists, F.col("v") == F.col("a")).select(F.col("b").alias("v"), "seed").groupBy("v").agg(F.min("seed").alias("seed"))
+        known = reduce(DataFrame.unionByName, rounds).select("v")
+        frontier = cut(step.join(known, "v", "left_anti"))
+    lists.unpersist()
+    log.info("components: %d frontiers", len(rounds))
+    return reduce(DataFrame.unionByName, rounds) if rounds else frontier
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(v, root): every vertex of the edges (a, b) with a vertex that stands for its component. Loops, repeated and null edges
+    are allowed and change nothing; a vertex only in loops is its own component. A graph of any size is expanded by frontiers;
+    only what is left after that, the graph of the seeds whose territories met, is finished in one task if it has at most
+    `small` edges."""
+    edges = cut(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    reached = territories(edges)
     owner = reached.select(F.col("v").alias("a"), F.col("seed").alias("sa"))
     other = reached.select(F.col("v").alias("b"), F.col("seed").alias("sb"))
     collisions = edges.join(owner, "a").join(other, "b").where("sa <> sb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
-    roots = components(collisions, small).withColumnRenamed("v", "seed")
+    met = cut(collisions.distinct())
+    left = met.count()
+    log.info("components: %d collisions of seeds, finished %s", left, "in one task" if left <= small else "by frontiers again")
+    if not left:
+        return reached.withColumnRenamed("seed", "root")
+    roots = (one_task(met) if left <= small else components(met, small)).withColumnRenamed("v", "seed")
     return reached.join(roots, "seed", "left").select("v", F.coalesce("root", "seed").alias("root"))
 
 
-def file_groups(records: DataFrame, small: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def file_groups(records: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(named, groups): the files of the records and (key, root) for every named file."""
     named = cut(named_files(records))
     linked = components(record_links(named), small).withColumnRenamed("v", "key")
@@ -105,17 +125,30 @@ def file_groups(records: DataFrame, small: int = 200_000) -> tuple[DataFrame, Da
     return named, keys.join(linked, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
 
 
+def registered_files(records: DataFrame, files: DataFrame, small: int = SMALL) -> DataFrame:
+    """(root, source): every file of the registry that a record names, with the key of a file that stands for its component."""
+    _, groups = file_groups(records, small)
+    registry = files.where("source is not null").select("source", file_key(F.col("source")).alias("key")).distinct()
+    return registry.join(groups, "key").select("root", "source")
+
+
+def file_membership(records: DataFrame, files: DataFrame, small: int = SMALL) -> DataFrame:
+    """(source, first_source, files): every file of the registry that a record names, the smallest file of its component and
+    how many files of the registry the component has."""
+    placed = cut(registered_files(records, files, small))
+    sizes = placed.groupBy("root").agg(F.min("source").alias("first_source"), F.count("*").alias("files"))
+    return placed.join(sizes, "root").select("source", "first_source", "files")
+
+
 #: Members of a component that one block of the join of its pairs holds, about.
 BLOCK = 2000
 
 
-def linked_files(records: DataFrame, files: DataFrame, small: int = 200_000, expand: int | None = None, block: int = BLOCK) -> DataFrame:
+def linked_files(records: DataFrame, files: DataFrame, small: int = SMALL, expand: int | None = None, block: int = BLOCK) -> DataFrame:
     """(source_a, source_b), source_a < source_b: every pair of files of the registry in one component. Names that are not in
     the registry link others but come out in no pair. With `expand`, a component of more files is given by the pairs of its
     smallest file with every other, from which the rest follows. Large components are joined in pairs of blocks of members."""
-    _, groups = file_groups(records, small)
-    registry = files.where("source is not null").select("source", file_key(F.col("source")).alias("key")).distinct()
-    placed = registry.join(groups, "key").select("root", "source")
+    placed = registered_files(records, files, small)
     sizes = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("source").alias("head"))
     sized = placed.join(sizes.where("n > 1"), "root")
     few = sized if expand is None else sized.where(F.col("n") <= expand)
@@ -137,7 +170,7 @@ def running_total(sizes: DataFrame, weight: str) -> DataFrame:
     return sizes.join(F.broadcast(offset), "bucket").withColumn("before", F.col("offset") + F.coalesce(inner, F.lit(0)))
 
 
-def grouped_split(records: DataFrame, targets: DataFrame, small: int = 200_000, seed: int = 17) -> DataFrame:
+def grouped_split(records: DataFrame, targets: DataFrame, small: int = SMALL, seed: int = 17) -> DataFrame:
     """(id, root, split_name): every record once, all records of a component in one split.
 
     Shares are of records. Components of at least HEAVY of all records (at most 1 / HEAVY of them) go first, largest first,

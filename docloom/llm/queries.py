@@ -85,6 +85,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return grouping.linked_files(table(spark, d, "records"), table(spark, d, "files"))
 
 
+@query()
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every named file with its component."""
+    return grouping.file_membership(table(spark, d, "records"), table(spark, d, "files"))
+
+
 @query()
 def p7_split(spark: SparkSession, d: str) -> DataFrame:
     """Every record with its split."""
