@@ -1,31 +1,34 @@
 """Defective question-answer pairs: empty, refusal, copied, language, truncated.
 
-Distinct responses are sorted by text over the whole collection; a response that is the beginning of its successor is a
-shortened version. A histogram of the lengths of unfinished responses shows length limits as spikes. Both are evidence for the
-truncation rule, next to what a response itself shows (open brackets, fences, tables, lists, a last sentence that stops). Then
-come the rules for placeholders, refusals, copies and languages; a pair gets the first defect that applies.
+Distinct responses are sorted by text over the whole collection, and each is compared with both of its neighbours. A common
+prefix tells two things about a response with an open end: it is a shortened version of the neighbour (the prefix is all of it),
+or it is a finished neighbour with a continuation that stops (the prefix is most of the neighbour). A histogram of the lengths
+of responses with an open end shows length limits as spikes. What a response itself shows (open brackets, fences, tables,
+lists, a last sentence that stops) settles the ones that have neither. Then come the rules for placeholders, refusals, copies
+and languages; a pair gets the first defect that applies, and truncated pairs come with their evidence.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.session import cut
 
 WORDS = re.compile(r"[^\W_]+")
-#: Shortest response that counts as a shortened version of its neighbour, in characters.
-LEAST_PREFIX = 20
-#: A length is a limit if this many unfinished responses have it, at least SPIKE times the mean of the lengths around it.
-SPIKE_ROWS, SPIKE, SPIKE_AROUND, LONGEST = 30, 8.0, 10, 20_000
+#: A length is a limit if responses with an open end have it at least SPIKE times as often as the lengths up to SPIKE_AROUND
+#: away do on average, and if chance gives that with a probability below exp(-SPIKE_NATS), at any size of the collection.
+SPIKE, SPIKE_AROUND, SPIKE_NATS = 8.0, 10, 20.0
+#: Share of a finished neighbour that a response must have in common to be compared with it; evidences from the strongest on.
+ALIKE = 0.5
+EVIDENCE = ("inside", "grown", "beginning", "alike")
 
 # What stands in for an answer that isn't there.
 PLACEHOLDER = re.compile(
@@ -50,8 +53,8 @@ REFUSAL = re.compile(
     r"|\bno puedo (?:responder|ayudar|contestar|decir)|\bno (?:es posible|se puede) (?:saber|responder|contestar|determinar|decir)|\b(?:fragmento|texto|pasaje|documento|extracto|contexto|fuente)\b(?: \w+){0,2} no (?:menciona|ofrece|dice|indica|contiene|da|aclara|incluye|lo|habla)|\bno (?:lo sé|sabría)\b|\bno (?:figura|aparece|consta|se menciona|se indica) (?:en|eso en)"
     r"|\b(?:не могу|нельзя|невозможно)\b[^.]*\b(?:ответить|помочь|сказать|узнать|определить)|\b(?:ответить|сказать|узнать|определить)\b[^.]*\b(?:нельзя|невозможно|не могу)|\b(?:отрывк|текст|документ|источник|контекст|фрагмент)\w*\b[^.]*\b(?:не|ничего|нет|молчит)\b|\bя не знаю\b|\bне знаю\b"
 )
-#: A refusal is short and gives no value of its own.
-LONGEST_REFUSAL = 320
+#: End of a sentence, for telling which sentences of a response decline.
+STOP = re.compile(r"(?<=[.!?…。！？])[\"'”»)]*\s+|\n+")
 
 # Words that a finished sentence does not end with.
 OPEN_WORDS = set(
@@ -76,7 +79,18 @@ def is_empty(text: str | None) -> bool:
 
 
 def is_refusal(text: str) -> bool:
-    return len(text) <= LONGEST_REFUSAL and bool(REFUSAL.search(text.replace("’", "'").lower()))
+    """Whether the first or the last sentence declines, or half of the text does, and the other sentences give no value; of
+    a response of one or two sentences one that declines is enough. The length of the response plays no part."""
+    plain = text.replace("’", "'").lower()
+    if not REFUSAL.search(plain):
+        return False
+    sentences = [x for x in STOP.split(plain) if x.strip()]
+    no = [bool(REFUSAL.search(x)) for x in sentences]
+    if len(sentences) <= 2 or not any(no):
+        return True
+    declined = sum(len(x) for x, n in zip(sentences, no) if n)
+    values = sum(any(c.isdigit() for c in x) for x, n in zip(sentences, no) if not n)
+    return (no[0] or no[-1] or 2 * declined >= len(plain)) and 2 * values <= len(sentences) - sum(no)
 
 
 def close_words(a: str, b: str) -> bool:
@@ -118,6 +132,8 @@ def is_copy(question: str, text: str) -> bool:
 def unfinished(text: str) -> str:
     """'yes' if the response shows itself that it stops early, 'no' if it is finished, 'open' if it may be a fragment."""
     t = text.strip()
+    if not t:
+        return "no"
     if "```" in t:
         return "yes" if t.count("```") % 2 else "no"
     if t[0] in "{[" and re.match(r"[{\[]\s*[\"{\[\d\]}]", t):
@@ -146,7 +162,7 @@ def unfinished(text: str) -> str:
         return "no"
     if t[-1] in ",;:-–—(/&" and len(t) > 1:
         return "yes"
-    if re.search(r"(?:^|\s)(?:\d{1,2}[.)]|[a-z]\))$", t) and len(t) > LEAST_PREFIX:
+    if re.search(r"(?:^|\s)(?:\d{1,2}[.)]|[a-z]\))$", t) and len(t.split()) > 3:
         return "yes"
     if t[-1] in "»”\")]}" and SENTENCE.search(t) is None:
         return "open"
@@ -160,34 +176,14 @@ NO_LANGUAGE = {"", "und", "mul", "zxx", "unknown", "none", "null"}
 
 
 class Languages:
-    """A naive Bayes model over words, fitted on a bounded sample of labelled texts."""
-
-    def __init__(self, rows: list[tuple[str, str]], least: int = 3) -> None:
-        words = [[w for w in WORDS.findall(QUOTED.sub(" ", text).lower()) if not w.isdigit()] for text, _ in rows]
-        # Labels are compared by their primary subtag: EN and en-GB are en. 'und' and the like name no language.
-        labels = [re.split(r"[-_]", label.strip().lower())[0] for _, label in rows]
-        self.fit([(w, k) for w, k in zip(words, labels) if k not in NO_LANGUAGE], least)
-        # Some labels are wrong; the fitted model corrects them, and the second fit is the one that counts.
-        if len(self.names) > 1:
-            again = [(w, self.names[int(s.argmax())]) for w in words if (s := self.scores_of(w)).any()]
-            self.fit(again, least)
-
-    def fit(self, rows: list[tuple[list[str], str]], least: int) -> None:
-        counts: dict[str, Counter] = {}
-        for words, label in rows:
-            counts.setdefault(label, Counter()).update(words)
-        # A label with hardly any rows is noise in the labels, not a language.
-        most = max((sum(c.values()) for c in counts.values()), default=0)
-        counts = {k: c for k, c in counts.items() if sum(c.values()) >= 0.01 * most}
-        self.names = sorted(counts)
-        totals = {k: sum(c.values()) for k, c in counts.items()}
-        together: Counter = Counter()
-        for c in counts.values():
-            together.update(c)
-        self.logs = {}
-        for w, n in together.items():
-            if n >= least:
-                self.logs[w] = np.array([math.log((counts[k][w] + 0.3) / (totals[k] + 1000)) for k in self.names])
+    """A naive Bayes model over words, made from the word counts of each label."""
+
+    def __init__(self, totals: dict[str, int], words: Iterable[tuple[str, dict[str, int]]]) -> None:
+        # A label with hardly any words is noise in the labels, not a language.
+        most = max(totals.values(), default=0)
+        totals = {k: n for k, n in totals.items() if n >= 0.01 * most}
+        self.names = sorted(totals)
+        self.logs = {w: np.array([math.log((counts.get(k, 0) + 0.3) / (totals[k] + 1000)) for k in self.names]) for w, counts in words}
 
     def scores(self, text: str) -> np.ndarray:
         return self.scores_of(WORDS.findall(text.lower()))
@@ -206,6 +202,42 @@ class Languages:
         return said.max() - said[mine] > margin and np.sort(asked)[-1] - np.sort(asked)[-2] > 1.0
 
 
+def counted(rows: DataFrame, least: int) -> Languages:
+    """The model of (label, words) rows. What comes to the driver are counts of the words that occur at least `least` times."""
+    # Labels of one sample are few, but nothing says so: those with hardly any words are left out before anything is collected.
+    sizes = rows.groupBy("label").agg(F.sum(F.size("words")).alias("n"))
+    top = sizes.agg(F.max("n")).first()[0] or 0
+    totals = {r["label"]: r["n"] for r in sizes.where(F.col("n") >= 0.01 * top).collect()}
+    per = rows.where(F.col("label").isin(list(totals))).select("label", F.explode("words").alias("w")).groupBy("w", "label").agg(F.count("*").alias("n"))
+    words = per.groupBy("w").agg(F.sum("n").alias("all"), F.collect_list(F.struct("label", "n")).alias("by")).where(F.col("all") >= least)
+    return Languages(totals, ((r["w"], {x["label"]: x["n"] for x in r["by"]}) for r in words.collect()))
+
+
+def language_model(labelled: DataFrame, sample: int, least: int = 3) -> Languages:
+    """Fitted on the `sample` distinct texts of the smallest hash. Words are taken and counted on the executors. Labels are
+    compared by their primary subtag: EN and en-GB are en; 'und' and the like name no language. Some labels are wrong; the
+    fitted model corrects them, and the second fit is the one that counts."""
+
+    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"label": [re.split(r"[-_]", x.strip().lower())[0] for x in frame["label"]], "words": [[w for w in WORDS.findall(QUOTED.sub(" ", t).lower()) if not w.isdigit()] for t in frame["text"]]})
+
+    rows = cut(labelled_sample(labelled, sample).mapInPandas(words, "label string, words array<string>"))
+    first = counted(rows.where(~F.col("label").isin(*NO_LANGUAGE)), least)
+    if len(first.names) < 2:
+        return first
+    known = labelled.sparkSession.sparkContext.broadcast(first)
+
+    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = known.value
+        for frame in frames:
+            scores = [model.scores_of(list(w)) for w in frame["words"]]
+            keep = [i for i, s in enumerate(scores) if s.any()]
+            yield pd.DataFrame({"label": [model.names[int(scores[i].argmax())] for i in keep], "words": [frame["words"].iloc[i] for i in keep]})
+
+    return counted(cut(rows.mapInPandas(again, "label string, words array<string>")), least)
+
+
 def pair_table(records: DataFrame) -> DataFrame:
     """(id, slot, question, text), once each: the answers, and the rejected answers where a rejection mode is set."""
     slots = F.array(F.struct(F.lit("answer").alias("slot"), F.col("answer").alias("text")), F.when(F.col("rejection_mode").isNotNull(), F.struct(F.lit("rejected").alias("slot"), F.col("rejected").alias("text"))))
@@ -213,96 +245,151 @@ def pair_table(records: DataFrame) -> DataFrame:
     return rows.select("id", "question", "s.slot", "s.text")
 
 
-def shortened(pairs: DataFrame, partitions: int) -> DataFrame:
-    """(text): the distinct responses that are beginnings of the next one in the order of all responses.
+def common_prefix(a: str, b: str) -> int:
+    """Number of leading characters that two texts share, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a.startswith(b[low:middle], low):
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
-    Distinct texts are range-partitioned, so copies of one text can't make a hot range. A range's last text is compared with
-    the first text of the next range; these first texts, one a range, are all that reaches the driver.
+
+def neighbour_evidence(text: str, near: str) -> str | None:
+    """What a neighbour in the order of all responses says about one whose end is open: `inside` if it is the neighbour's
+    beginning and stops inside a word, `beginning` if it stops elsewhere, `grown` if it goes on where a finished neighbour of
+    five words or more ends, `alike` if it shares most of a finished neighbour."""
+    whole, other = text.rstrip(), near.rstrip()
+    shared = common_prefix(whole, other)
+    if shared == len(whole) < len(other):
+        return "inside" if whole[-1].isalpha() and other[shared].isalpha() and " " in whole else "beginning"
+    if shared >= ALIKE * len(other) and unfinished(near) == "no":
+        ends = shared >= len(other.rstrip(CLOSED + QUOTES)) and len(WORDS.findall(other)) >= 5
+        return "grown" if ends else "alike"
+    return None
+
+
+def text_key(text: Column) -> list[Column]:
+    """Two hashes that stand for a text, so that joins need not carry it."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
+
+
+def neighbours(pairs: DataFrame, partitions: int) -> DataFrame:
+    """(k1, k2, evidence): what the neighbours of the distinct responses say, for those whose end is open and that have any.
+
+    Distinct texts are range-partitioned, so copies of one text can't make a hot range. Over the border of two ranges the last
+    text of the one meets the first text of the other; these, two a range, are all that reaches the driver.
     """
-    texts = pairs.where(F.length("text") >= LEAST_PREFIX).select("text").distinct()
-    ranges = cut(texts.repartitionByRange(partitions, "text").sortWithinPartitions("text").withColumn("range", F.spark_partition_id()))
-    heads = [(r["range"], r["head"]) for r in ranges.groupBy("range").agg(F.min("text").alias("head")).orderBy("range").collect()]
-    after = {a: nxt for (a, _), (_, nxt) in zip(heads, heads[1:])}
+    texts = pairs.where(F.rlike("text", F.lit(r"\S"))).select("text").distinct()
+    ranges = cut(texts.repartitionByRange(partitions, "text").sortWithinPartitions("text").withColumn("range", F.spark_partition_id()).select("text", "range", *text_key(F.col("text"))))
+    ends = ranges.groupBy("range").agg(F.min("text").alias("head"), F.max("text").alias("tail")).orderBy("range").collect()
+    after = {a["range"]: b["head"] for a, b in zip(ends, ends[1:])}
+    before = {b["range"]: a["tail"] for a, b in zip(ends, ends[1:])}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = None, None
+        def judged(last, row, following):
+            text, _, k1, k2 = row
+            if text.rstrip()[-1:] in CLOSED or text.isspace():
+                return
+            said = [e for near in (following, last) if near is not None and (e := neighbour_evidence(text, near))]
+            if said:
+                found.append((k1, k2, min(said, key=EVIDENCE.index)))
+
+        last, row, found = None, None, []
         for batch in batches:
-            out = []
-            for text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held is not None and text.startswith(held.rstrip()):
-                    out.append(held)
-                held = text
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
-        if held is not None and (nxt := after.get(at)) and nxt.startswith(held.rstrip()):
-            yield pa.RecordBatch.from_arrays([pa.array([held], pa.string())], ["text"])
-
-    return ranges.mapInArrow(work, "text string")
-
-
-def length_limits(pairs: DataFrame) -> set[int]:
-    """Lengths at which unfinished responses pile up."""
-    last = F.regexp_extract(F.rtrim("text"), r"(.)$", 1)
-    open_end = pairs.where((F.length("text") <= LONGEST) & (F.length("text") >= LEAST_PREFIX) & ~last.isin(*CLOSED, *"|}`)]\"»”"))
-    counts = {r["n"]: r["c"] for r in open_end.groupBy(F.length("text").alias("n")).agg(F.count("*").alias("c")).collect()}
-    found = set()
-    for n, c in counts.items():
-        around = [counts.get(k, 0) for k in range(n - SPIKE_AROUND, n + SPIKE_AROUND + 1) if k != n]
-        if c >= SPIKE_ROWS and c >= SPIKE * max(1, sum(around) / len(around)):
-            found.add(n)
-    return found
-
-
-def labelled_sample(rows: DataFrame, sample: int) -> list:
+            for following in zip(*(c.to_pylist() for c in batch.columns)):
+                if row is None:
+                    last = before.get(following[1])
+                else:
+                    judged(last, row, following[0])
+                    last = row[0]
+                row = following
+            yield evidence_batch(found)
+            found = []
+        if row is not None:
+            judged(last, row, after.get(row[1]))
+            yield evidence_batch(found)
+
+    return ranges.mapInArrow(work, "k1 bigint, k2 bigint, evidence string")
+
+
+def evidence_batch(found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kinds[i]) for i in range(3)], ["k1", "k2", "evidence"])
+
+
+def length_limits(open_ends: DataFrame) -> DataFrame:
+    """(n): lengths at which distinct responses with an open end pile up; open_ends: (k1, k2, n)."""
+    counts = open_ends.distinct().groupBy("n").agg(F.count("*").alias("c"))
+    near = counts.select("n", "c", F.explode(F.sequence(F.col("n") - SPIKE_AROUND, F.col("n") + SPIKE_AROUND)).alias("at"))
+    around = near.groupBy("at").agg(F.sum(F.when(F.col("at") == F.col("n"), F.col("c"))).alias("c"), F.sum(F.when(F.col("at") != F.col("n"), F.col("c"))).alias("others"))
+    mean = F.greatest(F.coalesce("others", F.lit(0)) / (2 * SPIKE_AROUND), F.lit(0.05))
+    # Chernoff's bound of a Poisson number of that mean.
+    nats = F.col("c") * F.log(F.col("c") / mean) - F.col("c") + mean
+    return around.where(F.col("c").isNotNull() & (F.col("c") >= SPIKE * mean) & (nats >= SPIKE_NATS)).select(F.col("at").alias("n"))
+
+
+def labelled_sample(rows: DataFrame, sample: int) -> DataFrame:
     """The `sample` distinct texts of the smallest hash with one label each. Rows of larger hashes are filtered out first, so
     every task hands on a few rows, however large the table is."""
     share = min(1.0, 4 * sample / max(1, rows.count()))
     low = rows.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
-    return low.groupBy("text").agg(F.min("label").alias("label")).orderBy(F.xxhash64("text")).limit(sample).collect()
+    return low.groupBy("text").agg(F.min("label").alias("label")).orderBy(F.xxhash64("text")).limit(sample)
 
 
-def defective_pairs(records: DataFrame, labelled: DataFrame | None = None, sample: int = 3000) -> DataFrame:
-    """(id, slot, defect) of the pairs that have a defect; one row a pair.
+def judged_pairs(records: DataFrame, labelled: DataFrame | None = None, sample: int = 3000) -> DataFrame:
+    """(id, slot, defect, evidence) of the pairs that have a defect; one row a pair.
 
     records: id, question, answer, rejected, rejection_mode; other columns are ignored, repeated rows count once, a null id
-    stays null. labelled: (text, label) rows of which the `sample` rows of the smallest hash fit the language model; without
+    stays null. labelled: (text, label) rows of which the `sample` texts of the smallest hash fit the language model; without
     it the language rule is off. A null, blank or wordless response is `empty` whatever the question; with a null or blank
-    question the copy and language rules do not apply. Texts are read whole, of any length.
+    question the copy and language rules do not apply. Texts are read whole, of any length. evidence is `neighbour`, `length`
+    or `form` for truncated pairs and `rule` for all others.
     """
     spark = records.sparkSession
     pairs = pair_table(records)
-    languages = None
-    if labelled is not None:
-        rows = labelled_sample(labelled.where("text is not null and label is not null"), sample)
-        languages = Languages([(r["text"], r["label"]) for r in rows])
-    limits = length_limits(pairs)
-    model = spark.sparkContext.broadcast((languages, limits))
+    languages = language_model(labelled.where("text is not null and label is not null"), sample) if labelled is not None else None
+    model = spark.sparkContext.broadcast(languages)
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    beside = neighbours(pairs, partitions)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, spikes = model.value
+        words = model.value
         for frame in frames:
             out = []
-            for i, slot, question, text in zip(frame["id"], frame["slot"], frame["question"], frame["text"]):
+            for i, slot, question, text, k1, k2 in zip(*(frame[c] for c in ("id", "slot", "question", "text", "k1", "k2"))):
                 if is_empty(text):
-                    out.append((i, slot, "empty", None))
+                    out.append((i, slot, "empty", None, k1, k2, 0))
                     continue
                 state = unfinished(text)
                 if is_refusal(text):
-                    out.append((i, slot, "refusal", None))
+                    defect = "refusal"
                 elif question and question.strip() and is_copy(question, text):
-                    out.append((i, slot, "copied", None))
-                elif state == "yes" and text.lstrip()[:1] in "|{[`":
-                    out.append((i, slot, "truncated", None))
-                elif words is not None and question and words.differs(question, text):
-                    out.append((i, slot, "language", None))
-                elif state == "yes" or (state == "open" and len(text) in spikes):
-                    out.append((i, slot, "truncated", None))
-                elif state == "open" and len(text) >= LEAST_PREFIX:
-                    out.append((i, slot, None, text))
-            yield pd.DataFrame(out, columns=["id", "slot", "defect", "text"])
+                    defect = "copied"
+                elif not (state == "yes" and text.lstrip()[:1] in "|{[`") and words is not None and question and words.differs(question, text):
+                    defect = "language"
+                elif state == "no":
+                    continue
+                else:
+                    defect = None
+                out.append((i, slot, defect, state, k1, k2, len(text)))
+            yield pd.DataFrame(out, columns=["id", "slot", "defect", "state", "k1", "k2", "n"])
 
     kind = pairs.schema["id"].dataType.simpleString()
-    judged = cut(pairs.select("id", "slot", "question", "text").mapInPandas(work, f"id {kind}, slot string, defect string, text string"))
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    beginnings = shortened(pairs, partitions)
-    cut_short = judged.where("defect is null").join(beginnings, "text", "left_semi").select("id", "slot", F.lit("truncated").alias("defect"))
-    return judged.where("defect is not null").select("id", "slot", "defect").unionByName(cut_short).distinct()
+    judged = cut(pairs.select("id", "slot", "question", "text", *text_key(F.col("text"))).mapInPandas(work, f"id {kind}, slot string, defect string, state string, k1 bigint, k2 bigint, n int"))
+    clear = judged.where("defect is not null").select("id", "slot", "defect", F.lit("rule").alias("evidence"))
+    # Neighbours first, then lengths; the form of the response settles what has neither.
+    open_ends = judged.where("defect is null")
+    limits = length_limits(open_ends.select("k1", "k2", "n")).withColumn("limit", F.lit(True))
+    seen = open_ends.join(beside, ["k1", "k2"], "left").join(limits, "n", "left")
+    stops = F.col("state") == "yes"
+    evidence = F.when((stops & F.col("evidence").isNotNull()) | F.col("evidence").isin("inside", "grown"), "neighbour").when(F.col("limit"), "length").when(stops, "form")
+    cut_short = seen.select("id", "slot", F.lit("truncated").alias("defect"), evidence.alias("evidence")).where("evidence is not null")
+    return clear.unionByName(cut_short).distinct()
+
+
+def defective_pairs(records: DataFrame, labelled: DataFrame | None = None, sample: int = 3000) -> DataFrame:
+    """(id, slot, defect) of the pairs that have a defect; see judged_pairs."""
+    return judged_pairs(records, labelled, sample).select("id", "slot", "defect").distinct()

@@ -28,11 +28,21 @@ def budget(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
     return row["max_tokens"], row["overlap_tokens"]
 
 
+def judged(spark: SparkSession, d: str, judge=pairs.judged_pairs) -> DataFrame:
+    documents = table(spark, d, "documents").select("text", F.col("lang").alias("label"))
+    return judge(table(spark, d, "records"), documents)
+
+
 @query()
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective pairs of records."""
-    documents = table(spark, d, "documents").select("text", F.col("lang").alias("label"))
-    return pairs.defective_pairs(table(spark, d, "records"), documents)
+    return judged(spark, d, pairs.defective_pairs)
+
+
+@query()
+def p1_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs each evidence gave."""
+    return judged(spark, d).groupBy("defect", "evidence").agg(F.count("*").alias("pairs"))
 
 
 @query("SELECT DISTINCT id FROM chunks WHERE greatest(1, length(text) // 4) > (SELECT max(max_tokens) FROM budgets WHERE purpose = 'chunk')")

@@ -1,6 +1,6 @@
 import pytest
 
-from docloom.llm.pairs import Languages, defective_pairs, is_copy, is_empty, is_refusal, unfinished
+from docloom.llm.pairs import common_prefix, defective_pairs, is_copy, is_empty, is_refusal, judged_pairs, language_model, length_limits, neighbour_evidence, unfinished
 
 SCHEMA = "id string, question string, answer string, rejected string, rejection_mode string, slot int, text string"
 
@@ -55,9 +55,9 @@ TALK = {
 }
 
 
-def test_language_labels_in_many_spellings():
-    rows = [(t, k) for k, t in TALK.items() for _ in range(20)] + [(TALK["en"], "EN"), (TALK["en"], "en-GB")] * 10 + [(TALK["de"], "en"), (TALK["en"], "und")]
-    model = Languages(rows)
+def test_language_labels_in_many_spellings(spark):
+    rows = [(f"{t} {k} {i}", k) for k, t in TALK.items() for i in range(20)] + [(f"{TALK['en']} {i} {k}", k) for i in range(10) for k in ("EN", "en-GB")] + [(TALK["de"], "en"), (TALK["en"], "und")]
+    model = language_model(spark.createDataFrame(rows, "text string, label string"), 3000)
     assert model.names == ["de", "en", "fr"]
     assert model.differs(TALK["en"], TALK["de"]) and not model.differs(TALK["en"], TALK["en"])
     assert not model.differs(TALK["en"], "The pump reads “Der Wert der Pumpe wurde am Morgen gelesen” in the morning.")
@@ -74,3 +74,33 @@ def test_frame(spark):
     got = sorted(((r["id"], r["slot"], r["defect"]) for r in defective_pairs(df, labelled).collect()), key=str)
     assert got == sorted([("a", "answer", "empty"), ("b", "rejected", "refusal"), ("c", "answer", "truncated"), ("e", "answer", "empty"), ("e", "rejected", "empty"), (None, "answer", "copied")], key=str)
     assert defective_pairs(df.limit(0), labelled.limit(0)).count() == 0
+
+
+def test_neighbours_over_range_borders(spark):
+    base = [f"The pump number {i} was read twice." for i in range(200)]
+    cuts = [b[:-5] for b in base[::10]] + [b[:-1] + ", although it was only" for b in base[5::10]]
+    rows = [(f"{i}", "What was read?", t, None, None) for i, t in enumerate(base + cuts)]
+    df = spark.createDataFrame(rows, "id string, question string, answer string, rejected string, rejection_mode string")
+    got = judged_pairs(df).collect()
+    assert {r["id"] for r in got} == {str(i) for i in range(200, 240)} and {r["defect"] for r in got} == {"truncated"}
+    assert sum(r["evidence"] == "neighbour" for r in got) == 40
+
+
+def test_evidence_of_neighbours():
+    assert common_prefix("abcd", "abxd") == 2 and common_prefix("", "a") == 0 and common_prefix("ab", "abc") == 2 and common_prefix("abc", "abc") == 3
+    assert neighbour_evidence("The pump was re", "The pump was read twice.") == "inside"
+    assert neighbour_evidence("702 %", "702 % of recall") == "beginning"
+    assert neighbour_evidence("The pump was read twice, since the", "The pump was read twice.") == "grown"
+    assert neighbour_evidence("The pump was read again, since the", "The pump was read twice.") == "alike"
+    assert neighbour_evidence("Yes 5", "Yes.") == "alike"
+    assert neighbour_evidence("Zuka", "The pump.") is None and neighbour_evidence("The pump", "The pump") is None
+
+
+def test_length_limits(spark):
+    rows = [(i, 0, 20 + i % 60) for i in range(600)] + [(1000 + i, 0, 48) for i in range(110)] + [(5000 + i, 0, 70) for i in range(4)] * 50
+    assert [r["n"] for r in length_limits(spark.createDataFrame(rows, "k1 bigint, k2 bigint, n int")).collect()] == [48]
+
+
+def test_long_refusals():
+    assert is_refusal("I can't answer this from the document. " + "Please send the part that covers the unit and its settings. " * 8)
+    assert not is_refusal("The recall is 52 mm. The operators could not be reached, and the passage does not say why. " + "The drift was 4 mm and the loss 7 dB. " * 8)
