@@ -280,8 +280,9 @@ def pair_rows(members: DataFrame, links: DataFrame, expand: int = EXPAND, block:
 
 
 def class_rows(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row a record and class: (id, cls, copies, links), its class, the class's ids and the number of linked classes."""
+    """One row a record and class: (id, cls, first_id, copies, links): its class, the class's smallest id, the number of its ids
+    and of the classes linked to it."""
     ids = members.select("id", "cls").distinct()
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
-    sizes = ids.groupBy("cls").agg(F.count("*").alias("copies"))
-    return ids.join(sizes, "cls").join(ends, "cls", "left").select("id", "cls", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    sizes = ids.groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
+    return ids.join(sizes, "cls").join(ends, "cls", "left").select("id", "cls", "first_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))

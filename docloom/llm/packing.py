@@ -140,7 +140,8 @@ def containers(sizes: DataFrame, key: str, capacity: int, size: str = "tokens",
             return out
 
         dealt = items.withColumn("shard", F.pmod(F.xxhash64("key", "part", F.lit(turn)), F.lit(shards)).cast("int"))
-        packed = cut(dealt.groupBy("shard").applyInPandas(in_turn(work, turn), schema))
+        # A number of partitions that is asked for stays: shards are few bytes and much work, and would be merged into one task.
+        packed = cut(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(in_turn(work, turn), schema))
         close = F.lit(True) if last else F.col("fill") >= REOPEN * capacity
         done.append(packed.where(close).drop("fill"))
         if last:

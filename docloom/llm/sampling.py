@@ -113,22 +113,21 @@ def category_sample(records: DataFrame, targets: DataFrame, size: int | None = N
     available = {k: sum(c.values()) for k, c in counts.items()}
     want = wanted_rows(goal, available, size)
     quota = allocate(want, available, tree)
-    edges = []  # (category, bucket where the quota ends, rows before it, quota)
+    edges = []  # (category, bucket, rows before it, quota), up to the bucket where the quota ends
     for k, c in counts.items():
         before = 0
         for b in sorted(c):
-            if before + c[b] >= quota.get(k, 0):
+            if before >= quota.get(k, 0):
                 break
+            edges.append((k, b, before, quota[k]))
             before += c[b]
-        else:
-            b = 1 << BUCKET_BITS
-        edges.append((k, b, before, quota.get(k, 0)))
     spark = records.sparkSession
-    edge = spark.createDataFrame(edges, "category string, last int, before bigint, quota bigint")
-    near = listed.join(F.broadcast(edge), "category").where("quota > 0 and bucket <= last")
+    # At most one row a target and bucket.
+    edge = spark.createDataFrame(edges, "category string, bucket int, before bigint, quota bigint")
+    near = listed.join(F.broadcast(edge), ["category", "bucket"])
+    # Keys are distinct, so the number of a row in this order is its dense rank.
     rank = F.row_number().over(Window.partitionBy("category", "bucket").orderBy("h", "key"))
-    inside = near.where("bucket = last").withColumn("rank", F.col("before") + rank).where("rank <= quota")
-    sample = near.where("bucket < last").select("key", "category").unionByName(inside.select("key", "category"))
+    sample = near.withColumn("rank", F.col("before") + rank).where("rank <= quota").select("key", "category", "rank")
     total = max(1, sum(quota.values()))
     report = [(k, s, m, available[k], want[k], quota.get(k, 0), quota.get(k, 0) / total, quota.get(k, 0) >= want[k]) for k, (s, m) in sorted(goal.items())]
     made = spark.createDataFrame(report, "category string, target_share double, min_rows int, available bigint, wanted bigint, drawn bigint, share double, met boolean")

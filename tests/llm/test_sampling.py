@@ -36,6 +36,7 @@ def test_frame(spark, parts):
     out = sample.collect()
     assert len(out) == len({r["id"] for r in out}) == sum(r["drawn"] for r in got.values()) == 200
     assert {c: sum(r["category"] == c for r in out) for c in got} == {c: r["drawn"] for c, r in got.items()}
+    assert {c: sorted(r["rank"] for r in out if r["category"] == c) for c in got} == {c: list(range(1, r["drawn"] + 1)) for c, r in got.items()}
     assert abs(got["intermediate"]["drawn"] - 100) <= 12
     # The same rows whatever the partitioning.
     global drawn
