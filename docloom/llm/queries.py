@@ -267,8 +267,8 @@ def p9_checked(spark: SparkSession, d: str) -> DataFrame:
     report = cut(mixed_documents(spark, d)[1])
     short = report.where("not met").agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("s"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).crossJoin(report.agg(F.sum("drawn_tokens").alias("all")))
     rows = report.crossJoin(F.broadcast(short))
-    due = F.col("weight") / (1 - F.col("w")) * (1 - F.col("s"))
-    return rows.select("source", F.round("weight", 9).alias("weight"), "max_repeats", (F.col("repeats") <= F.col("max_repeats")).alias("within_repeats"), (~F.col("met") | (F.abs(F.col("share") - due) <= 0.01 + 4 * F.sqrt(due * (1 - due) * mixing.BLOCK / F.col("all")))).alias("fair"))
+    due = F.coalesce(F.try_divide(F.col("weight") * (1 - F.col("s")), 1 - F.col("w")), F.lit(0.0))
+    return rows.select("source", F.round("weight", 9).alias("weight"), "max_repeats", (F.col("repeats") <= F.col("max_repeats")).alias("within_repeats"), (~F.col("met") | (F.abs(F.col("share") - due) <= 0.01 + 4 * F.sqrt(F.greatest(due * (1 - due), F.lit(0.0)) * F.coalesce(F.try_divide(F.lit(mixing.BLOCK), F.col("all")), F.lit(1.0))))).alias("fair"))
 
 
 @query()
