@@ -147,7 +147,9 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
                     mine = source == s
                     repeat[mine] = x[mine] // sizes_of[s]
                     block_no[mine] = permuted(x[mine] % sizes_of[s], sizes_of[s], seed + int(s))
-                yield pd.DataFrame({"shard": shard, "slot": slots_, "source": [names[s] for s in source], "block": block_no, "repeat": repeat})[valid]
+                # Plain objects: a filtered column of strings may be chunked, which Arrow structs refuse.
+                label = np.array(names, object)[source[valid]]
+                yield pd.DataFrame({"shard": np.full(len(label), shard), "slot": slots_[valid], "source": pd.Series(label, dtype=object), "block": block_no[valid], "repeat": repeat[valid]})
 
     drawn_slots = starts.select("shard", "k", "n", "slot", "first").mapInPandas(slot_rows, "shard bigint, slot bigint, source string, block bigint, repeat bigint")
     # The slots are made from a small table, so their number can't be estimated: without the hint they would all be broadcast.

@@ -89,3 +89,12 @@ def test_slots_are_never_broadcast(spark):
     slots = [line for line in plan.split("\n") if "slot_rows" in line]
     above = plan.split("slot_rows")[0]
     assert slots and "BroadcastHashJoin" not in above and "BroadcastExchange" not in above
+
+
+def test_draws_beyond_every_repeat_are_left_out(spark):
+    sizes = spark.createDataFrame([("a", "x", 900), ("b", "y", 700), ("c", "y", 2000)], "doc_id string, source string, tokens bigint")
+    targets = spark.createDataFrame([("x", 0.7, 1), ("y", 0.3, 1)], "source string, weight double, max_repeats int")
+    rows, report = mixture(sizes, targets, total_tokens=100_000, block=16)
+    got = {r["source"]: r for r in report.collect()}
+    assert 800 <= got["x"]["drawn_tokens"] <= 900 and 2500 <= got["y"]["drawn_tokens"] <= 2700
+    assert got["x"]["repeats"] == got["y"]["repeats"] == 1 and not got["x"]["met"]
