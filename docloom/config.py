@@ -22,6 +22,14 @@ class Generation:
     cross_document_pairs: int = 6
     persona_share: float = 0.3
     preference_share: float = 0.4
+    evolve_share: float = 0.0
+
+
+@dataclass
+class Verification:
+    samples: int = 0
+    symbolic: bool = True
+    allow_python: bool = False
 
 
 @dataclass
@@ -37,18 +45,20 @@ class Config:
     chunking: Chunking = field(default_factory=Chunking)
     generation: Generation = field(default_factory=Generation)
     selection: Selection = field(default_factory=Selection)
+    verification: Verification = field(default_factory=Verification)
     formats: list[str] = field(default_factory=lambda: ["chatml", "sharegpt", "dpo", "raw"])
     plugins: list[str] = field(default_factory=list)
     against: list[str] = field(default_factory=list)
     cache: str = ""
     seed: int = 7
+    token_budget: int = 0
 
     def validate(self) -> "Config":
         c, g, s = self.chunking, self.generation, self.selection
         checks = {
             "chunking.max_tokens must be above chunking.min_tokens": c.max_tokens > c.min_tokens > 0,
             "thresholds must lie between 0 and 1": all(0 < t <= 1 for t in (c.dedup_threshold, s.lexical_threshold, s.semantic_threshold)),
-            "shares must lie between 0 and 1": all(0 <= t <= 1 for t in (g.persona_share, g.preference_share, s.min_quality)),
+            "shares must lie between 0 and 1": all(0 <= t <= 1 for t in (g.persona_share, g.preference_share, g.evolve_share, s.min_quality)),
             "counts must be positive": g.qa_per_chunk > 0 and g.multihop_pairs >= 0 and g.cross_document_pairs >= 0,
         }
         wrong = [text for text, ok in checks.items() if not ok]
@@ -66,7 +76,7 @@ def build(kind: type, data: dict, where: str = "") -> object:
             near = difflib.get_close_matches(key, known, 1)
             raise ValueError(f"unknown setting {where}{key!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
         part = getattr(made, key)
-        if isinstance(part, (Chunking, Generation, Selection)):
+        if isinstance(part, (Chunking, Generation, Selection, Verification)):
             value = build(type(part), value, f"{key}.")
         setattr(made, key, value)
     return made

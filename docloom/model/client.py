@@ -44,7 +44,7 @@ class Offline(Backend):
         body = source.group(1) if source else prompt
         sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", body) if len(s.split()) >= 5 and re.search(r"[a-z]", s)]
         name = task.group(1) if task else "answer"
-        if name in ("qa", "figure_qa", "multihop", "cross_document"):
+        if name in ("qa", "multihop", "cross_document", "figure_qa"):
             wanted = int((re.search(r"COUNT: (\d+)", prompt) or [0, "3"])[1])
             rows = []
             for s in sentences[:wanted]:
@@ -61,6 +61,25 @@ class Offline(Backend):
             words = set(re.findall(r"\w{4,}", (claim.group(1) if claim else "").lower()))
             share = len(words & set(re.findall(r"\w{4,}", body.lower()))) / max(1, len(words))
             return json.dumps({"label": "entailment" if share >= 0.6 else "neutral", "confidence": round(share, 3)})
+        if name == "reverse":
+            return json.dumps({"answerable_without_source": False, "matches_source_answer": False, "confidence": 0.9})
+        if name in ("symbolic", "solver"):
+            return json.dumps({"applicable": False})
+        if name == "grade":
+            both = [set(re.findall(r"\w+", m.group(1).lower())) if (m := re.search(rf"^{mark}: (.*)", prompt, re.M)) else set() for mark in ("REFERENCE", "CANDIDATE")]
+            share = len(both[0] & both[1]) / max(1, len(both[0]))
+            return json.dumps({"verdict": "correct" if share >= 0.8 else "partial" if share >= 0.4 else "incorrect", "missing": [], "wrong": []})
+        if name == "react":
+            number = re.search(r"\d+(?:\.\d+)?", body)
+            term = sentences[0].split()[0] if sentences else "nothing"
+            trace = [{"thought": "Find it in the text.", "action": "lookup", "action_input": number.group() if number else term, "observation": sentences[0] if sentences else ""}]
+            return json.dumps({"question": f"What does the source say about {term}?", "answer": sentences[0] if sentences else "", "trace": trace}, ensure_ascii=False)
+        if name == "evolve":
+            question, answer = (re.search(rf"^{mark}: (.*)", prompt, re.M) for mark in ("QUESTION", "ANSWER"))
+            return json.dumps({"applied": bool(question and answer), "question": f"Considering everything the source says: {question.group(1) if question else ''}", "answer": answer.group(1) if answer else ""}, ensure_ascii=False)
+        if name == "entities":
+            names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*", body)))[:6]
+            return json.dumps({"entities": [{"name": n, "type": "concept"} for n in names], "relations": [{"source": a, "target": b, "relation": "related_to"} for a, b in zip(names, names[1:])]})
         if name == "clarity":
             return json.dumps({"standalone": 0.9, "specific": 0.9, "natural": 0.8, "answer_complete": 0.9})
         if name == "reject":
@@ -123,13 +142,13 @@ class Caller:
     dead: int = 5
     failures: int = 0
 
-    def __call__(self, prompt: str, temperature: float, most: int) -> tuple[str | None, str | None, int]:
+    def __call__(self, prompt: str, temperature: float, most: int, images: tuple[str, ...] = ()) -> tuple[str | None, str | None, int]:
         error = "the backend is taken to be dead"
         if self.failures >= self.dead:
             return None, error, 0
         for attempt in range(self.retries + 1):
             try:
-                reply = self.backend.complete(prompt, temperature, most)
+                reply = self.backend.complete(prompt, temperature, most, images) if images else self.backend.complete(prompt, temperature, most)
                 self.failures = 0
                 return reply, None, attempt + 1
             except (OSError, ValueError, KeyError, ModelError, urllib.error.URLError) as problem:
@@ -145,23 +164,36 @@ class Caller:
         return None, error, self.retries + 1
 
 
-def completed(prompts: DataFrame, backend: Backend, prompt: str = "prompt", temperature: float = 0.0, most: int = 1000, retries: int = 2) -> DataFrame:
+def completed(prompts: DataFrame, backend: Backend, prompt: str = "prompt", temperature: float = 0.0, most: int = 1000, retries: int = 2, role: str = "generate", images: str | None = None, json_reply: bool = False) -> DataFrame:
     """The frame with reply, ok, error, tokens_in, tokens_out and attempts. A failed call is a row with ok = false, not an error.
 
-    Model calls cost money and differ between runs: cut the result before it is used twice.
+    images: a column of paths that go with the prompts. With a Runtime the backend is that of the role, the calls are added to
+    its tally, and a wave beyond its budget is refused; json_reply counts replies that hold no JSON. Model calls cost money and
+    differ between runs: cut the result before it is used twice.
     """
+    from docloom.model.runtime import Runtime, readable
+
+    tally = None
+    if isinstance(backend, Runtime):
+        backend.admit(role)
+        backend, tally = backend.of(role), backend.tally
     names = prompts.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields) + ", " + CALL_SCHEMA
-    at = names.index(prompt)
+    at, shown = names.index(prompt), names.index(images) if images else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = Caller(backend, retries)
         for batch in batches:
-            rows = [(text, *call(text or "", temperature, most)) for text in batch.column(at).to_pylist()]
+            pictures = batch.column(shown).to_pylist() if shown is not None else [()] * batch.num_rows
+            rows = [(text, *call(text or "", temperature, most, tuple(paths or ()))) for text, paths in zip(batch.column(at).to_pylist(), pictures)]
+            spent = [max(1, len(r[0] or "") // 4) for r in rows], [max(1, len(r[1]) // 4) if r[1] else 0 for r in rows]
             columns = [
-                pa.array([r[1] for r in rows], pa.string()), pa.array([r[1] is not None for r in rows]), pa.array([r[2] for r in rows], pa.string()),
-                pa.array([max(1, len(r[0] or "") // 4) for r in rows], pa.int64()), pa.array([max(1, len(r[1]) // 4) if r[1] else 0 for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()),
+                pa.array([r[1] for r in rows], pa.string()), pa.array([r[1] is not None for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string()),
+                pa.array(spent[0], pa.int64()), pa.array(spent[1], pa.int64()), pa.array([r[3] for r in rows], pa.int32()),
             ]
+            if tally is not None and rows:
+                unread = sum(r[1] is not None and not readable(r[1]) for r in rows) if json_reply else 0
+                tally.add({(role, "calls"): len(rows), (role, "failures"): sum(r[1] is None for r in rows), (role, "unparsed"): unread, (role, "tokens_in"): sum(spent[0]), (role, "tokens_out"): sum(spent[1])})
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, "reply", "ok", "error", "tokens_in", "tokens_out", "attempts"])
 
     return prompts.mapInArrow(work, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 
-#: Phrases that point at a text the reader of the question does not have.
+# Phrases that point at a text the reader of the question does not have.
 DEIXIS = r"(?i)(^|[^0-9A-Za-z_])(this|the)\s+(passage|section|paper|document|text|excerpt|table above|figure above)($|[^0-9A-Za-z_])|(^|[^0-9A-Za-z_])the above($|[^0-9A-Za-z_])|(^|[^0-9A-Za-z_])as (stated|mentioned|shown) (above|here)($|[^0-9A-Za-z_])"
 # The weight of each gate in the quality score.
 WEIGHTS = {
@@ -101,7 +101,9 @@ def cheap_gates(records: DataFrame) -> DataFrame:
     text = [lexical_grounding(said, F.col("context")), numeric_grounding(said, supported_numbers(F.col("context"), F.col("tool_trace")))]
     none = F.array().cast(f"array<{GATE}>")
     talk = F.when(F.size(F.coalesce("turns", F.array().cast("array<struct<role:string,content:string>>"))) > 0, F.array(turn_coherence(F.col("turns"), F.col("context")))).otherwise(none)
-    return records.withColumn("gates", F.concat(F.array(*base), F.when(visual, none).otherwise(F.array(*text)), talk))
+    # A trace that was run again (tools.replay.trace_gates) has its verdict already.
+    trace = F.when(F.col("trace_gate").isNotNull(), F.array(F.col("trace_gate").cast(GATE))).otherwise(none) if "trace_gate" in records.columns else none
+    return records.withColumn("gates", F.concat(trace, F.array(*base), F.when(visual, none).otherwise(F.array(*text)), talk)).drop("trace_gate")
 
 
 def quality_score(gates: Column) -> Column:

@@ -14,7 +14,7 @@ from docloom.operators.records import latest
 from docloom.session import cut
 
 ATOMIC = ("table", "equation", "figure")
-#: References in running text and labels of blocks: (kind, pattern with one group). Letters and digits are spelled out, as \b and \w differ between engines.
+# References in running text and labels of blocks: (kind, pattern with one group). Letters and digits are spelled out, as \b and \w differ between engines.
 REFERENCES = (
     ("citation", r"\[(\d{1,3})\]"),
     ("table", r"(?:^|[^0-9A-Za-z_])Table +(\d{1,3}[A-Za-z]?)(?:[^0-9A-Za-z_]|$)"),

@@ -13,11 +13,13 @@ from docloom import registry
 from docloom.cache import Cache, content_fingerprint, fingerprint
 from docloom.config import Config
 from docloom.functions import text as T
-from docloom.model import synth
+from docloom.model import judges, synth
 from docloom.model.client import Backend, Offline
+from docloom.model.runtime import BudgetExceeded, Runtime
 from docloom.operators import audit, choose, dedup, gates, graph, tree, vectors
 from docloom.session import cut
 from docloom.sources import files, formats
+from docloom.tools import replay
 
 log = logging.getLogger("docloom")
 TURNS = "array<struct<role:string,content:string>>"
@@ -33,7 +35,7 @@ def chunks_of(nodes: DataFrame, most: int = 900, least: int = 60) -> DataFrame:
     label = F.concat(F.lit("["), "node_id", F.lit("] "))
     shown = F.when(F.col("kind") == "table", F.concat(label, T.text_of(F.col("caption")), F.lit("\n"), T.text_of(F.col("text")))).when(F.col("kind") == "equation", F.concat(label, T.text_of(F.col("text")))).otherwise(T.text_of(F.col("text")))
     inside = inside.join(tree.resolved_bodies(nodes), ["doc_id", "ord"], "left")
-    parts = inside.groupBy("doc_id", "section", "chunk").agg(F.array_sort(F.collect_list(F.struct("ord", shown.alias("t"), "kind", "node_id", "page", "anchor", "tbl", F.col("equation.latex").alias("latex"), "breadcrumb", "refs"))).alias("b"))
+    parts = inside.groupBy("doc_id", "section", "chunk").agg(F.array_sort(F.collect_list(F.struct("ord", shown.alias("t"), "kind", "node_id", "page", "anchor", "bbox", "tbl", F.col("equation.latex").alias("latex"), "breadcrumb", "refs"))).alias("b"))
     names = nodes.where("kind = 'document'").select("doc_id", F.col("text").alias("title"))
     heads = nodes.where("kind in ('heading', 'document')").select("doc_id", F.col("ord").alias("section"), F.col("text").alias("own"))
     rows = parts.join(heads, ["doc_id", "section"], "left").join(names, "doc_id", "left")
@@ -46,7 +48,7 @@ def chunks_of(nodes: DataFrame, most: int = 900, least: int = 60) -> DataFrame:
     return rows.select(
         T.chunk_id(F.col("doc_id"), text).alias("id"), "doc_id", text.alias("text"), F.when((F.size("b") == 1) & (F.get("b", F.lit(0))["kind"] == "table"), "table").otherwise("section").alias("kind"),
         F.col("doc_id").alias("source"), "breadcrumb", "section_path", F.transform("b", lambda x: x["node_id"]).alias("node_ids"), F.array_sort(F.array_distinct(F.filter(F.transform("b", lambda x: x["page"]), lambda p: p.isNotNull()))).alias("pages"),
-        F.transform("b", lambda x: x["anchor"]).alias("anchors"), held("table", lambda x: x["tbl"]["html"]).alias("tables"), held("table", lambda x: x["tbl"]["grid"]).alias("grids"), held("equation", lambda x: x["latex"]).alias("equations"),
+        F.transform("b", lambda x: x["anchor"]).alias("anchors"), F.filter(F.transform("b", lambda x: x["bbox"]), lambda x: x.isNotNull()).alias("bboxes"), held("table", lambda x: x["tbl"]["html"]).alias("tables"), held("table", lambda x: x["tbl"]["grid"]).alias("grids"), held("equation", lambda x: x["latex"]).alias("equations"),
         held("figure", lambda x: x["node_id"]).alias("figures"), F.when(F.size(refs) > 0, F.array_join(refs, "\n")).alias("resolved_refs"), T.token_estimate(text).alias("tokens"),
     )
 
@@ -64,11 +66,21 @@ def whole_record(records: DataFrame) -> DataFrame:
     return rows.select(*order)
 
 
+def figures_of(nodes: DataFrame | None, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, node_id, image_path, caption, bbox): the figures of the chunks that have a picture."""
+    if nodes is None:
+        return chunks.sparkSession.createDataFrame([], "chunk_id string, node_id string, image_path string, caption string, bbox array<double>")
+    own = chunks.select(F.col("id").alias("chunk_id"), "doc_id", F.explode(F.coalesce("figures", F.array().cast("array<string>"))).alias("node_id"))
+    shown = nodes.where("kind = 'figure' and figure.src is not null").select("doc_id", "node_id", F.col("figure.src").alias("image_path"), F.coalesce("caption", "text", F.lit("")).alias("caption"), "bbox")
+    return own.join(shown, ["doc_id", "node_id"]).drop("doc_id")
+
+
 class Pipeline:
     """Runs the stages in order; each is cut, so that a lost executor or a second use never repeats model calls."""
 
     def __init__(self, spark: SparkSession, config: Config | None = None, backend: Backend | None = None) -> None:
-        self.spark, self.config, self.backend = spark, (config or Config()).validate(), backend or Offline()
+        self.spark, self.config = spark, (config or Config()).validate()
+        self.backend = backend if isinstance(backend, Runtime) else Runtime.on(spark, backend or Offline(), self.config.token_budget or None)
         registry.load_plugins(self.config.plugins, spark)
         self.cache = Cache(spark, self.config.cache) if self.config.cache else None
         self.report: dict = {}
@@ -93,7 +105,13 @@ class Pipeline:
         kept = dedup.lexical_dedup(made, "id", "text", "id", c.dedup_threshold).where("kept").select("id")
         return cut(made.join(kept, "id", "left_semi"))
 
-    def synthesise(self, chunks: DataFrame) -> DataFrame:
+    def repaired(self, records: DataFrame) -> DataFrame:
+        """Traces whose claims are what the tools really give."""
+        records = cut(records)
+        fixed = replay.repair_traces(records, self.config.verification.allow_python).select("id", F.col("tool_trace").alias("fixed"))
+        return records.join(fixed, "id", "left").withColumn("tool_trace", F.coalesce("fixed", "tool_trace")).drop("fixed")
+
+    def synthesise(self, chunks: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         g = self.config.generation
         found, known, edges = graph.build(chunks)
         makers = {
@@ -101,6 +119,8 @@ class Pipeline:
             "multihop": lambda: synth.generate_pairs(graph.bridging_pairs(found, known, edges, g.multihop_pairs), found, chunks, self.backend, "multihop"),
             "cross_document": lambda: synth.generate_pairs(graph.cross_document(found, known, edges, g.cross_document_pairs), found, chunks, self.backend, "cross_document"),
             "multiturn": lambda: synth.generate_dialogues(chunks, self.backend),
+            "react": lambda: self.repaired(synth.generate_react(chunks, self.backend)),
+            "figure_qa": lambda: synth.generate_figure_qa(chunks, figures_of(nodes, chunks), self.backend),
         }
         parts, errors = [], {}
         key = content_fingerprint(chunks.select("id", "text", "resolved_refs"))
@@ -110,6 +130,8 @@ class Pipeline:
                 raise ValueError(f"unknown task {task!r}; choose from {sorted({*makers, *registry.TASKS})}")
             try:
                 parts.append(self.stage(f"synth_{task}", [key, asdict(g), repr(self.backend)], lambda: whole_record(make())))
+            except BudgetExceeded:
+                raise
             except Exception as error:  # noqa: BLE001 - a failing plugin task is counted, the others go on
                 errors[task] = str(error)[:200]
         self.report["errors"] = errors
@@ -120,16 +142,17 @@ class Pipeline:
             out = out.unionByName(p)
         out = out.dropDuplicates(["id"])
         more = synth.persona_rewrites(out, self.backend, g.persona_share, self.config.seed)
+        if g.evolve_share > 0:
+            more = more.unionByName(synth.evolved(out, self.backend, g.evolve_share, self.config.seed))
         out = cut(out.unionByName(more).dropDuplicates(["id"]))
         return cut(whole_record(synth.preference_pairs(out, self.backend, g.preference_share, self.config.seed)))
 
     def verify(self, records: DataFrame) -> DataFrame:
-        """Cheap gates first; the judge sees only what they let through."""
-        checked = cut(gates.cheap_gates(records))
-        passed = F.forall("gates", lambda g: g["passed"])
+        """Traces are run again, then the gates without a model; the model sees only what they let through."""
+        v = self.config.verification
+        checked = cut(gates.cheap_gates(cut(replay.trace_gates(records, v.allow_python))))
         kind = f"array<{gates.GATE}>"
-        asked = synth.judged(checked.where(passed), self.backend).withColumn("gates", F.concat("gates", F.array(F.col("gate"))).cast(kind)).drop("gate")
-        rows = cut(asked.unionByName(checked.where(~passed)))
+        rows = cut(judges.verified(checked, self.backend, v.samples, v.symbolic, v.allow_python, cut))
         log_ = F.col("gates").cast(kind)
         rows = rows.withColumn("scores", F.map_concat(F.map_from_entries(F.transform("gates", lambda g: F.struct(g["stage"], F.round(g["score"], 4)))), F.create_map(F.lit("quality"), gates.quality_score(F.col("gates")))))
         rows = rows.withColumn("flags", gates.verdict_flags(F.col("gates"))).withColumn("prov", F.col("prov").withField("verification", log_))
@@ -145,7 +168,7 @@ class Pipeline:
             good = cut(good.join(fresh.select("id"), "id", "left_semi"))
         kept = dedup.lexical_dedup(good, "id", "question", "id", s.lexical_threshold).where("kept").select("id")
         rows = cut(good.join(kept, "id", "left_semi"))
-        texts = rows.select("id", F.concat_ws("\n", "question", F.substring("answer", 1, 500)).alias("t"))
+        texts = rows.select("id", F.concat_ws("\n", "question", "answer").alias("t"))
         q = rows.select("id", F.coalesce(F.try_element_at("scores", F.lit("quality")), F.lit(0.0)).alias("quality"))
         embedded = cut(vectors.hashed_embedding(texts, "id", "t").join(q, "id"))
         kept = vectors.semantic_dedup(embedded, "id", "vector", "quality", s.semantic_threshold).where("kept").select("id")
@@ -157,9 +180,10 @@ class Pipeline:
 
     def run(self, path: str, out: str) -> dict:
         nodes, skipped = self.parse(path)
-        self.report["skipped"] = [r.asDict() for r in skipped.limit(1000).collect()]
+        self.report["skipped"] = skipped.count()
+        skipped.write.mode("overwrite").json(f"{out}/skipped.jsonl")
         chunks = self.chunk(nodes)
-        made = self.synthesise(chunks)
+        made = self.synthesise(chunks, nodes)
         checked = self.verify(made)
         final = self.select(checked)
         if final.isEmpty():
@@ -171,7 +195,7 @@ class Pipeline:
         self.report |= {
             "documents": nodes.select("doc_id").distinct().count(), "chunks": chunks.count(), "generated": made.count(), "final": final.count(),
             "gates": [r.asDict() for r in audit.gate_counts(checked).orderBy("stage").collect()], "yield": [r.asDict() for r in audit.yields(checked).orderBy("task").collect()],
-            "rejections": [r.asDict() for r in audit.rejections(checked).orderBy("reason").collect()], "cache": self.cache.stats() if self.cache else {},
+            "rejections": [r.asDict() for r in audit.rejections(checked).orderBy("reason").collect()], "cache": self.cache.stats() if self.cache else {}, "health": self.backend.health(),
         }
         text = self.spark.createDataFrame([(json.dumps(self.report, ensure_ascii=False),)], "value string")
         text.coalesce(1).write.mode("overwrite").text(f"{out}/report.json")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from docloom.plans import chosen, engine, graphs, quality, retrieval, text, trees  # noqa: F401
+from docloom.plans import chosen, engine, graphs, judged, quality, retrieval, text, trees  # noqa: F401
 from docloom.plans.registry import QUERIES, SQL  # noqa: F401

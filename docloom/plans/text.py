@@ -50,7 +50,7 @@ def numbers_extract(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, substr(sha1(coalesce(source, '') || chr(31) || substr(coalesce(text, ''), 1, 512)), 1, 16) AS id FROM documents")
 def content_ids(spark: SparkSession, d: str) -> DataFrame:
     """Identity by content."""
-    return table(spark, d, "documents").select("doc_id", T.chunk_id(F.col("source"), F.col("text")).alias("id"))
+    return table(spark, d, "documents").select("doc_id", T.chunk_id(F.col("source"), F.col("text"), 512).alias("id"))
 
 
 @query("SELECT doc_id, min(doc_id) OVER w AS first_key, count(*) OVER w AS copies FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY text)")

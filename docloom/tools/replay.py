@@ -84,49 +84,93 @@ def agrees(claimed: str, actual: str) -> bool:
     return a in b or b in a
 
 
+TOOLS = ("python", "sql", "lookup")
+
+
+def with_traces(records: DataFrame) -> DataFrame:
+    none = lambda kind: F.array().cast(kind)
+    return records.where(F.size("tool_trace") > 0).select("id", "context", "tool_trace", F.coalesce("tool_env.grids", none("array<array<array<string>>>")).alias("grids"), F.coalesce("tool_env.captions", none("array<string>")).alias("captions"))
+
+
+def run_trace(row, allow_python: bool, repair: bool) -> dict:
+    """Every step of one trace run again: steps with what the tools gave, and the counts of the verdict.
+
+    A step of a disabled tool is left as it is, with whatever was executed before, and counts as skipped. A step whose tool
+    fails keeps its claim; with `repair` a claim that the output contradicts is replaced by it.
+    """
+    grids = [[list(r) for r in grid] for grid in row.grids]
+    steps, checked, agreed, skipped, repaired, notes = [], 0, 0, 0, 0, []
+    for n, step in enumerate(row.tool_trace):
+        step = dict(step)
+        steps.append(step)
+        action = (step["action"] or "").strip().lower()
+        if action not in TOOLS:
+            notes.append(f"step {n}: no tool {action!r}")
+            continue
+        if action == "python" and not allow_python:
+            skipped += 1
+            continue
+        ok, output = execute(action, step["action_input"], row.context, grids, list(row.captions), allow_python)
+        checked += 1
+        step |= {"executed_observation": output, "executed_ok": bool(ok)}
+        if not ok:
+            notes.append(f"step {n}: {action} failed")
+        elif agrees(step["observation"], output):
+            agreed += 1
+        elif repair:
+            step["observation"], repaired, agreed = output, repaired + 1, agreed + 1
+        else:
+            notes.append(f"step {n}: {action} gave something else")
+    return {"steps": steps, "checked": checked, "agreed": agreed, "skipped": skipped, "repaired": repaired, "notes": "; ".join(notes)}
+
+
 def replay_traces(records: DataFrame, allow_python: bool = False) -> DataFrame:
     """(id, steps, checked, agreed, passed, inconclusive): verdict of each record with a trace; steps of a disabled tool are
     not checked and make the verdict inconclusive if nothing else fails."""
-    rows = records.where(F.size("tool_trace") > 0).select("id", "context", "tool_trace", F.coalesce("tool_env.grids", F.array().cast("array<array<array<string>>>")).alias("grids"), F.coalesce("tool_env.captions", F.array().cast("array<string>")).alias("captions"))
+    rows = with_traces(records)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                grids = [[list(row) for row in grid] for grid in r.grids]
-                checked = agreed = skipped = 0
-                for step in r.tool_trace:
-                    action = (step["action"] or "").strip().lower()
-                    if action == "python" and not allow_python:
-                        skipped += 1
-                        continue
-                    ok, output = execute(action, step["action_input"], r.context, grids, list(r.captions), allow_python)
-                    checked += 1
-                    agreed += ok and agrees(step["observation"], output)
-                out.append((r.id, len(r.tool_trace), checked, agreed, checked + skipped > 0 and agreed == checked, skipped > 0))
+                x = run_trace(r, allow_python, False)
+                out.append((r.id, len(x["steps"]), x["checked"], x["agreed"], x["checked"] + x["skipped"] > 0 and x["agreed"] == x["checked"], x["skipped"] > 0))
             yield pd.DataFrame(out, columns=["id", "steps", "checked", "agreed", "passed", "inconclusive"])
 
     return rows.mapInPandas(work, f"id {rows.schema['id'].dataType.simpleString()}, steps int, checked int, agreed int, passed boolean, inconclusive boolean")
 
 
-def repair_traces(records: DataFrame, allow_python: bool = False) -> DataFrame:
-    """(id, tool_trace, repaired): traces with wrong observations replaced by what the tools really gave."""
-    rows = records.where(F.size("tool_trace") > 0).select("id", "context", "tool_trace", F.coalesce("tool_env.grids", F.array().cast("array<array<array<string>>>")).alias("grids"), F.coalesce("tool_env.captions", F.array().cast("array<string>")).alias("captions"))
-    kind = rows.schema["tool_trace"].dataType.simpleString()
+def trace_gates(records: DataFrame, allow_python: bool = False) -> DataFrame:
+    """The records with their traces' executed outputs and a column `trace_gate`: the verdict of the gate trace_execution, null
+    for records without a trace. It fails if a step's output contradicts its claim, if a tool fails or if no step can be run; it
+    is inconclusive if steps of a disabled tool were left out and nothing else failed."""
+    rows = with_traces(records)
+    kind, key = records.schema["tool_trace"].dataType.simpleString(), records.schema["id"].dataType.simpleString()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                grids, fixed, n = [[list(row) for row in grid] for grid in r.grids], [], 0
-                for step in r.tool_trace:
-                    step = dict(step)
-                    ok, output = execute((step["action"] or "").strip().lower(), step["action_input"], r.context, grids, list(r.captions), allow_python)
-                    step |= {"executed_observation": output[:600], "executed_ok": bool(ok)}
-                    if ok and not agrees(step["observation"], output):
-                        step["observation"], n = output[:600], n + 1
-                    fixed.append(step)
-                out.append((r.id, fixed, n))
-            yield pd.DataFrame(out, columns=["id", "tool_trace", "repaired"])
+                x = run_trace(r, allow_python, False)
+                fine = x["agreed"] == x["checked"] and x["checked"] + x["skipped"] > 0
+                out.append((r.id, x["steps"], fine, x["agreed"] / x["checked"] if x["checked"] else 0.0, x["notes"], fine and x["skipped"] > 0))
+            yield pd.DataFrame(out, columns=["id", "ran", "passed", "score", "detail", "inconclusive"])
+
+    done = rows.mapInPandas(work, f"id {key}, ran {kind}, passed boolean, score double, detail string, inconclusive boolean")
+    verdict = F.struct(F.lit("trace_execution").alias("stage"), "passed", "score", "detail", "inconclusive")
+    joined = records.join(done.select("id", "ran", verdict.alias("trace_gate")), "id", "left")
+    return joined.withColumn("tool_trace", F.coalesce("ran", "tool_trace")).select(*records.columns, "trace_gate")
+
+
+def repair_traces(records: DataFrame, allow_python: bool = False) -> DataFrame:
+    """(id, tool_trace, repaired): traces with wrong observations replaced by what the tools really gave. Steps whose tool fails
+    or is disabled keep everything they have."""
+    rows = with_traces(records)
+    kind = rows.schema["tool_trace"].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = [(r.id, run_trace(r, allow_python, True)) for r in frame.itertuples(index=False)]
+            yield pd.DataFrame([(i, x["steps"], x["repaired"]) for i, x in done], columns=["id", "tool_trace", "repaired"])
 
     return rows.mapInPandas(work, f"id {rows.schema['id'].dataType.simpleString()}, tool_trace {kind}, repaired int")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import sqlite3
+import threading
 import time
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,13 +55,31 @@ def cell_value(text: str | None) -> int | float | str | None:
     return plain
 
 
+WRITES = re.compile(r"Command|Statement|Insert|Create|Drop|Delete|Update|Merge|Set(?:Catalog|Namespace)|Truncate|Load|Cache|Alter|Rename|Analyze|Refresh")
+
+
+def plan_nodes(plan) -> Iterator[str]:
+    """Class names of all nodes of a parsed plan: children, and what a node keeps inside, as the bodies of a WITH."""
+    open_ = [plan]
+    while open_:
+        node = open_.pop()
+        yield node.getClass().getSimpleName()
+        for group in (node.children(), node.innerChildren()):
+            for i in range(group.size()):
+                if hasattr(group.apply(i), "innerChildren"):
+                    open_.append(group.apply(i))
+
+
 def plan_is_query(spark: SparkSession, sql: str) -> None:
-    """Refuses everything whose parsed plan is not a query."""
+    """Refuses every statement whose parsed plan has a node that isn't part of a query, at any depth, and functions that call
+    into the virtual machine."""
     if not re.match(r"\s*(?:select|with)\b", sql, re.I):
         raise ReadOnlyError("only SELECT and WITH are allowed")
-    name = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).getClass().getSimpleName()
-    if re.search(r"Command|Statement|Insert|Create|Drop|Delete|Update|Merge|Set", name):
-        raise ReadOnlyError(f"{name} is no query")
+    if re.search(r"\b(?:try_)?(?:reflect|java_method)\s*\(", sql, re.I):
+        raise ReadOnlyError("functions of the virtual machine can't be called")
+    for name in plan_nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)):
+        if WRITES.search(name):
+            raise ReadOnlyError(f"{name} is no query")
 
 
 def query(spark: SparkSession, sql: str) -> DataFrame:
@@ -67,6 +88,23 @@ def query(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def run_query(spark: SparkSession, sql: str, most: int = MOST_ROWS, deadline: float = DEADLINE) -> tuple[bool, str]:
+    """(ok, output) of a read-only statement for interactive use: at most `most` rows, cancelled at the deadline."""
+    group = f"docloom-sql-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    stop = threading.Timer(deadline, context.cancelJobGroup, (group,))
+    try:
+        context.setJobGroup(group, "interactive SQL", interruptOnCancel=True)
+        stop.start()
+        rows = query(spark, sql).limit(most).collect()
+        return True, rendered(rows, most)
+    except Exception as error:  # noqa: BLE001 - whatever is wrong with a statement is its output
+        return False, f"{type(error).__name__}: {str(error).splitlines()[0][:300]}"
+    finally:
+        stop.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def register_grids(spark: SparkSession, grids: list[list[list[str]]], captions: list[str] = ()) -> list[str]:
     """Temporary views of the grids with two rows or more; numbers stay numbers where a whole column is numeric."""
     names = table_names(list(captions), len(grids))
@@ -87,6 +125,12 @@ def register_grids(spark: SparkSession, grids: list[list[list[str]]], captions:
     return made
 
 
+def describe_schema(grids: list[list[list[str]]], captions: list[str] = ()) -> str:
+    """One line a table: its name, columns and caption."""
+    named = zip(table_names(list(captions), len(grids)), grids, [*captions, *[""] * len(grids)])
+    return "\n".join(f"{name}({', '.join(column_names(list(grid[0])))})" + (f" -- {caption}" if caption else "") for name, grid, caption in named if len(grid) >= 2)
+
+
 def rendered(rows: list, most: int = MOST_ROWS) -> str:
     return "\n".join(" | ".join("" if v is None else str(v) for v in row) for row in rows[:most]) or "(no rows)"
 
