@@ -180,7 +180,8 @@ class Pipeline:
 
     def run(self, path: str, out: str) -> dict:
         nodes, skipped = self.parse(path)
-        self.report["skipped"] = skipped.count()
+        # The report names the first thousand; the file has them all.
+        self.report |= {"skipped": [r.asDict() for r in skipped.limit(1000).collect()], "skipped_files": skipped.count()}
         skipped.write.mode("overwrite").json(f"{out}/skipped.jsonl")
         chunks = self.chunk(nodes)
         made = self.synthesise(chunks, nodes)
