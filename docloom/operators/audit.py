@@ -90,6 +90,21 @@ def element_percentiles(values: DataFrame, column: str, shares: tuple[float, ...
 OVERHEAD, REPLY = 400, {"qa": 700, "multiturn": 1200, "react": 900, "figure_qa": 500, "verify": 300}
 
 
+def rates_from_report(report: dict) -> dict[str, float]:
+    """Shares of records that reach the model's gates, the code check and the solver, by the gate counts of an earlier run; 1
+    where the report says nothing, so that a plan without measurements is an upper bound."""
+    ran = {g["stage"]: g["passed"] + g["failed"] + g["inconclusive"] for g in report.get("gates") or []}
+    steps = [max(1, ran.get("structural", 0)), ran.get("nli_forward", 0) + ran.get("visual_grounding", 0), ran.get("symbolic", 0), ran.get("z3", 0)]
+    return {name: min(1.0, there / before) if before and there else 1.0 for name, before, there in zip(("cheap", "model", "symbolic"), steps, steps[1:])}
+
+
+def planned_verification(chunks: DataFrame, rates: dict[str, float], per_chunk: int = 3, samples: int = 0) -> DataFrame:
+    """(source, calls): calls of the gates that ask a model, when the records thin out as an earlier run measured."""
+    reach = F.count("*") * per_chunk * rates["cheap"]
+    calls = reach * (3 + samples) + reach * rates["model"] * (1 + rates["symbolic"])
+    return chunks.groupBy("source").agg(F.ceil(calls).alias("calls"))
+
+
 def cost_plan(chunks: DataFrame, per_chunk: int = 3, cheap_pass: float = 0.8, samples: int = 0) -> DataFrame:
     """(stage, calls, tokens_in, tokens_out): planned model calls for each source and together, by stage, from chunk sizes."""
     size = T.token_estimate(F.col("text")).cast("bigint")

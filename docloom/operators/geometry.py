@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.sources import pdf
+from docloom.sources.builder import NODE_SCHEMA
+from docloom.sources.files import COLUMNS as NODE_COLUMNS
+
 #: Points: tolerance of a column's edge, margin for labels of a figure, least side of a figure.
 ALIGNED, LABEL_MARGIN, LEAST_SIDE, LABEL_CHARS = 8.0, 16.0, 24.0, 40
 
@@ -150,10 +154,49 @@ def body_size(fragments: DataFrame) -> DataFrame:
     return sums.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", "size")).alias("size"))
 
 
-def heading_level(size: Column, body: Column, text: Column, bold: Column) -> Column:
-    """1 or 2 by the ratio to the body's size, the depth of a section number, 3 for a short bold line, else null."""
-    number = F.regexp_extract(text, r"^(\d+(?:\.\d+)*)\s+\S", 1)
-    return F.when(size >= body * 1.45, 1).when(size >= body * 1.2, 2).when((number != "") & (F.length(text) < 80) & bold, F.size(F.split(number, r"\.")) + 1).when(bold & (F.length(text) < 80), 3)
+def document_trees(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """Node rows (sources.builder.NODE_SCHEMA) of documents given as page layouts.
+
+    blocks: (doc_id, page, n, kind, text, size, bold, bbox, image_path), kind text or image, n the reading order in a page; tables:
+    (doc_id, page, bbox, grid). Blocks inside a table are the table's; headings open sections by size, number or weight; a caption
+    waits for the next image; a table goes under the last heading on its page or before, with the nearest caption on its page. The
+    title is the largest text of the first page. Null pages, boxes and texts of blocks make them running text without a place.
+    Documents stream through sorted partitions: besides its headings and captions nothing of a document is held.
+    """
+    text = blocks.where("kind = 'text' and trim(coalesce(text, '')) <> ''")
+    sizes = body_size(text.select("doc_id", F.col("size").alias("height"), "text")).withColumnRenamed("size", "body")
+    titles = text.where("page = 0").groupBy("doc_id").agg(F.max_by("text", F.struct("size", (-F.col("n")).alias("n"))).alias("title"))
+    regions = tables.groupBy("doc_id", "page").agg(F.collect_list("bbox").alias("regions"))
+    slack = F.lit(pdf.SLACK)
+    swallowed = F.exists("regions", lambda r: (F.col("bbox")[0] >= r[0] - slack) & (F.col("bbox")[1] >= r[1] - slack) & (F.col("bbox")[2] <= r[2] + slack) & (F.col("bbox")[3] <= r[3] + slack))
+    own = blocks.join(regions, ["doc_id", "page"], "left").where((F.col("kind") == "image") | ~F.coalesce(swallowed, F.lit(False)))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = own.select("doc_id", F.lit(0).alias("part"), "page", F.col("n").cast("bigint").alias("n"), "kind", "text", F.col("size").cast("double").alias("size"), "bold", F.col("bbox").cast("array<double>").alias("bbox"), "image_path", none("array<array<string>>").alias("grid"))
+    right = tables.select("doc_id", F.lit(1).alias("part"), "page", F.lit(0).cast("bigint").alias("n"), F.lit("table").alias("kind"), none("string").alias("text"), none("double").alias("size"), none("boolean").alias("bold"), F.col("bbox").cast("array<double>").alias("bbox"), none("string").alias("image_path"), "grid")
+    rows = left.unionByName(right).join(sizes, "doc_id", "left").join(titles, "doc_id", "left")
+    order = rows.repartition("doc_id").sortWithinPartitions("doc_id", "part", "page", "n", F.col("bbox")[1])
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, out = None, None
+        for frame in frames:
+            made = []
+            for row in frame.itertuples(index=False):
+                if out is None or row.doc_id != doc:
+                    if out is not None:
+                        made += out.rows[sent:]
+                    doc = row.doc_id
+                    title = (row.title or "").strip().split("\n")[0][:200] or doc
+                    out, sent = pdf.Assembler(doc, doc, title, body=row.body if row.body == row.body and row.body else 10.0), 0
+                place = {"page": None if pd.isna(row.page) else int(row.page), "bbox": None if row.bbox is None else [float(v) for v in row.bbox]}
+                if row.part == 0:
+                    out.layout_block({"kind": row.kind, "text": row.text, "size": 0.0 if pd.isna(row.size) else row.size, "bold": bool(row.bold) if row.bold is not None else False, "image_path": row.image_path} | place)
+                elif place["bbox"] and place["page"] is not None:
+                    out.layout_table({"grid": [list(r) for r in ([] if row.grid is None else row.grid)]} | place)
+            made += out.rows[sent:] if out is not None else []
+            sent = len(out.rows) if out is not None else 0
+            yield pd.DataFrame(made, columns=NODE_COLUMNS)
+
+    return order.mapInPandas(work, NODE_SCHEMA)
 
 
 def nearest_section(blocks: DataFrame, headings: DataFrame) -> DataFrame:

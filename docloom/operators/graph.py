@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,8 +58,78 @@ def resolved(found: DataFrame) -> DataFrame:
 
 def entities(found: DataFrame) -> DataFrame:
     """(key, type, name, chunks, sources): one row an entity."""
-    return found.groupBy("key").agg(F.min("type").alias("type"), F.min("name").alias("name"), F.countDistinct("chunk_id").alias("chunks"), F.countDistinct("source").alias("sources"))
+    # A mention is one row a chunk, so rows are chunks, and sources are the rows of the first step.
+    per = found.groupBy("key", "source").agg(F.min("type").alias("type"), F.min("name").alias("name"), F.count("*").alias("n"))
+    return per.groupBy("key").agg(F.min("type").alias("type"), F.min("name").alias("name"), F.sum("n").alias("chunks"), F.count("source").alias("sources"))
+
 
+def entity_names(found: DataFrame) -> DataFrame:
+    """(key, name, aliases, value) from mentions before they are merged: all ways in which each entity is written, and for a
+    quantity its number. The smallest way is the name, the others are aliases."""
+    renamed = found.join(variants(found), "key", "left").withColumn("key", F.coalesce("to", "key"))
+    ways = renamed.groupBy("key", "name").agg(F.min("type").alias("type"))
+    per = ways.groupBy("key").agg(F.array_sort(F.collect_list("name")).alias("names"), F.min("type").alias("type"))
+    value = F.when(F.col("type") == "quantity", F.regexp_extract(F.col("names")[0], r"-?\d+(?:\.\d+)?", 0)).otherwise("")
+    return per.select("key", F.col("names")[0].alias("name"), F.slice("names", 2, F.size("names")).alias("aliases"), value.alias("value"))
+
+
+def unique_edges(edges: DataFrame) -> DataFrame:
+    """One edge a (src, dst, relation): that of the smallest chunk; loops are left out."""
+    first = edges.where("src <> dst").groupBy("src", "dst", "relation").agg(F.min(F.struct("chunk_id", "weight")).alias("e"))
+    return first.select("src", "dst", "relation", "e.chunk_id", "e.weight")
+
+
+def merge_graphs(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mentions, entities, edges) of one graph from several (mentions, edges): variants are folded over all of them, edges follow
+    their ends' new keys and count once, edges without both ends are left out."""
+    found, edges = (reduce(DataFrame.unionByName, [p[i] for p in parts]) for i in (0, 1))
+    found = cut(found.select("key", "chunk_id", "type", "name", "source"))
+    fold = cut(variants(found))
+    merged = cut(found.join(fold, "key", "left").withColumn("key", F.coalesce("to", "key")).groupBy("key", "chunk_id").agg(F.min("type").alias("type"), F.min("name").alias("name"), F.min("source").alias("source")))
+    known = cut(entities(merged))
+    for end in ("src", "dst"):
+        edges = edges.join(fold.withColumnsRenamed({"key": end, "to": "new"}), end, "left").withColumn(end, F.coalesce("new", end)).drop("new").join(known.select(F.col("key").alias(end)), end, "left_semi")
+    return merged, known, cut(unique_edges(edges.select("src", "dst", "relation", "chunk_id", "weight")))
+
+
+def model_pass(chunks: DataFrame, backend, longest: int = 6000) -> tuple[DataFrame, DataFrame]:
+    """(mentions, edges) that a model finds: entities with a type, and relations between them whose ends are mentions too.
+    Long chunks are asked about window by window; replies that can't be read give nothing."""
+    from docloom.model.client import completed
+    from docloom.model.synth import chunk_inputs, one_object, prompt, windowed
+
+    rows = windowed(chunk_inputs(chunks), longest)
+    text = prompt("entities", "List the entities of the source and how they are related, as a JSON object with entities (name, type) and relations (source, relation, target).", F.col("window"))
+    asked = cut(completed(rows.select("id", "source", text.alias("prompt")), backend, most=1400, json_reply=True).where("ok").select("id", "source", one_object(F.col("reply"), "entities array<struct<name:string,type:string>>, relations array<struct<source:string,target:string,relation:string>>").alias("r")))
+    ends = asked.select("id", "source", F.explode("r.relations").alias("x")).where("trim(x.source) <> '' and trim(x.target) <> ''")
+    entity = lambda name, kind: F.struct(name.alias("name"), kind.alias("type"))
+    named = asked.select("id", "source", F.explode("r.entities").alias("e")).select("id", "source", entity(F.col("e.name"), F.coalesce(F.lower("e.type"), F.lit("entity"))).alias("m"))
+    sides = ends.select("id", "source", F.explode(F.array(entity(F.col("x.source"), F.lit("entity")), entity(F.col("x.target"), F.lit("entity")))).alias("m"))
+    found = named.unionByName(sides).select(F.col("id").alias("chunk_id"), "source", "m.name", "m.type", T.normalized_name(F.col("m.name")).alias("key")).where("length(key) between 2 and 120")
+    # A mention with a type of its own counts before one that is only the end of a relation.
+    best = F.min(F.struct((F.col("type") == "entity").alias("plain"), "name", "type")).alias("m")
+    found = found.groupBy("chunk_id", "source", "key").agg(best).select("chunk_id", "source", "m.name", "m.type", "key")
+    edges = ends.select(T.normalized_name(F.col("x.source")).alias("src"), T.normalized_name(F.col("x.target")).alias("dst"), F.coalesce("x.relation", F.lit("related_to")).alias("relation"), F.col("id").alias("chunk_id"), F.lit(1.0).alias("weight"))
+    return found, unique_edges(edges.where("length(src) between 2 and 120 and length(dst) between 2 and 120"))
+
+
+def simple_paths(edges: DataFrame, ends: DataFrame, hops: int = 3, most: int = 16) -> DataFrame:
+    """(src, dst, path, hops, rank): for each pair of ends the `most` shortest paths of at most `hops` edges that visit no entity
+    twice, ties by the keys on the way. Steps only go to entities that are near enough to the other end."""
+    near = undirected(edges)
+    ends = cut(ends.select("src", "dst").where("src <> dst").distinct())
+    back = within_hops(edges, ends.select(F.col("dst").alias("key")).distinct(), hops - 1).select(F.col("seed").alias("dst"), F.col("key").alias("at"), F.col("hops").alias("left"))
+    back = cut(back)
+    open_, done = ends.withColumn("path", F.array("src")), None
+    for step in range(1, hops + 1):
+        out = open_.withColumn("a", F.element_at("path", -1)).join(near, "a").where(~F.array_contains("path", F.col("b")))
+        out = out.select("src", "dst", F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at")).join(back.where(F.col("left") <= hops - step), ["dst", "at"])
+        out = cut(out.select("src", "dst", "path", "left"))
+        found = out.where("left = 0").select("src", "dst", "path", F.lit(step).alias("hops"))
+        done = found if done is None else done.unionByName(found)
+        open_ = out.where("left > 0").select("src", "dst", "path")
+    rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy("hops", "path"))
+    return done.withColumn("rank", rank).where(F.col("rank") <= most)
 
 def co_occurrence(found: DataFrame, known: DataFrame) -> DataFrame:
     """(src, dst, relation, chunk_id, weight): pairs among the SALIENT entities of each chunk: quantities first, then by chunks, then by key."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.functions.text import NUMBER, STOP, TERM
+from docloom.functions.text import NUMBER, STOP, TERM, WORD
 
 RECORDS = "r AS (SELECT * FROM records WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 CHUNKS = "c AS (SELECT * FROM chunks WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY text) = 1)"
@@ -18,8 +18,8 @@ def numbers(x: str) -> str:
     return f"list_transform(regexp_extract_all(coalesce({x}, ''), '{NUMBER}'), lambda t: replace(t, ',', '')::DOUBLE)"
 
 
-def shingles(x: str, k: int = 5) -> str:
-    words = f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+')"
+def shingles(x: str, k: int = 5, ascii: bool = True) -> str:
+    words = f"regexp_extract_all(lower(coalesce({x}, '')), '{'[a-z0-9]+' if ascii else WORD}')"
     return f"(list_transform([{words}], lambda w: CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, greatest(len(w) - {k - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) END))[1]"
 
 

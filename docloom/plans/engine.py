@@ -82,7 +82,7 @@ def export_lines(spark: SparkSession, d: str) -> DataFrame:
 TOOL_AGG = "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus"
 TOOL_JOIN = "SELECT n_name, c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment"
 TOOL_WINDOW = "SELECT l_suppkey, l_orderkey, l_linenumber, rn FROM (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rn FROM lineitem) x WHERE rn <= 3"
-TOOL_ANTI = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+TOOL_ANTI = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 150000)"
 
 
 def tool(spark: SparkSession, d: str, sql: str, *tables: str) -> DataFrame:
@@ -190,12 +190,15 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n")
 
 
-@query()
+@query(f"WITH {D.CHUNKS} SELECT id, sha256(to_json({{'id': id, 'doc_id': doc_id, 'text': text, 'kind': kind, 'source': source}})::VARCHAR) AS fingerprint FROM c")
 def row_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return row_fingerprint(chunks(spark, d).select("id", "doc_id", "text", "kind", "source")).select("id", "fingerprint")
 
 
-@query()
+LISTS = ", ".join(f"nullif(array_to_string(coalesce({c}, []), chr(10)), '')" for c in ("tables", "equations"))
+
+
+@query(f"WITH {D.CHUNKS} SELECT id, length(concat_ws(chr(10) || chr(10), nullif(breadcrumb, ''), nullif(text, ''), {LISTS}, nullif(resolved_refs, ''), nullif(array_to_string(coalesce(figures, []), chr(10)), ''))) AS chars, source, breadcrumb FROM c")
 def retrieval_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as passages for retrieval."""
     return formats.corpus(chunks(spark, d)).select("id", F.length("text").alias("chars"), "source", "breadcrumb")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.operators import graph
 from docloom.plans import dialect as D
@@ -54,6 +55,46 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.build(chunks(spark, d))[2]
 
 
+@query(f"WITH {GRAPH} SELECT src, dst, relation, min(chunk_id) AS chunk_id FROM ed WHERE src <> dst GROUP BY ALL")
+def graph_unique_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The first edge of each pair and relation."""
+    return graph.unique_edges(graph.build(chunks(spark, d))[2]).drop("weight")
+
+
+@query(f"WITH {D.CHUNKS}, {MENTIONS}, {FOLDED}, w AS (SELECT DISTINCT coalesce(vb.dest, m.key) AS key, name FROM m LEFT JOIN vb ON m.key = vb.key) SELECT key, min(name) AS name, array_to_string(list_sort(list(name))[2:], '|') AS aliases FROM w GROUP BY key")
+def graph_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every way in which an entity is written."""
+    return graph.entity_names(cut(graph.mentions(chunks(spark, d)))).select("key", "name", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(f"WITH {GRAPH} SELECT key, chunks, sources FROM en")
+def graph_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of one graph made from the mentions of two halves of the files."""
+    found = cut(graph.mentions(chunks(spark, d)))
+    half = F.pmod(F.xxhash64("source"), F.lit(2))
+    none = spark.createDataFrame([], "src string, dst string, relation string, chunk_id string, weight double")
+    return graph.merge_graphs([(found.where(half == 0), none), (found.where(half.isNull() | (half == 1)), none)])[1].select("key", "chunks", "sources")
+
+
+PATHS = f"""{GRAPH}, un AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed), de AS (SELECT a AS key, count(*) AS n FROM un GROUP BY a), lo AS (SELECT key, row_number() OVER (ORDER BY n, key) AS i FROM de WHERE n >= 3 ORDER BY i LIMIT 20),
+    pa AS (SELECT x.key AS src, y.key AS dst FROM lo x JOIN lo y ON y.i = x.i + 1), p1 AS (SELECT pa.src, pa.dst, [pa.src, u.b] AS path FROM pa JOIN un u ON u.a = pa.src),
+    p2 AS (SELECT p1.src, p1.dst, list_append(path, u.b) AS path FROM p1 JOIN un u ON u.a = path[2] WHERE path[2] <> dst AND NOT list_contains(path, u.b)),
+    p3 AS (SELECT p2.src, p2.dst, list_append(path, u.b) AS path FROM p2 JOIN un u ON u.a = path[3] AND u.b = p2.dst WHERE path[3] <> dst AND NOT list_contains(path, u.b)),
+    al2 AS (SELECT * FROM p1 WHERE path[2] = dst UNION ALL SELECT * FROM p2 WHERE path[3] = dst UNION ALL SELECT * FROM p3)"""
+
+
+@query(f"WITH {PATHS} SELECT src, dst, array_to_string(path, '>') AS path, len(path) - 1 AS hops, row_number() OVER (PARTITION BY src, dst ORDER BY len(path), path) AS rank FROM al2 QUALIFY rank <= 16")
+def graph_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest simple paths between entities with few links."""
+    edges = graph.build(chunks(spark, d))[2]
+    near = cut(graph.undirected(edges))
+    few = near.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n")).where("n >= 3").orderBy("n", "key").limit(20)
+    low = cut(few.withColumn("i", F.row_number().over(Window.orderBy("n", "key"))))
+    ends = low.select(F.col("key").alias("src"), "i").join(low.select(F.col("key").alias("dst"), (F.col("i") - 1).alias("i")), "i").select("src", "dst")
+    out = graph.simple_paths(edges, ends)
+    return out.select("src", "dst", F.array_join("path", ">").alias("path"), "hops", "rank")
+
+
 @query(f"WITH {D.CHUNKS}, {MENTIONS}, {FOLDED} SELECT type, count(*) AS entities FROM en GROUP BY type")
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.build(chunks(spark, d))[1].groupBy("type").agg(F.count("*").alias("entities"))

@@ -77,14 +77,24 @@ def answer_agreement(spark: SparkSession, d: str) -> DataFrame:
     return audit.grades(rows, "rejected", "answer").select("id", "f1", "numeric")
 
 
-def link_sql(source: str, key: str, text: str, threshold: float) -> str:
-    return f"""s AS (SELECT {key} AS id, {D.shingles(text)} AS h FROM {source}),
+def link_sql(source: str, key: str, text: str, threshold: float, ascii: bool = True) -> str:
+    return f"""s AS (SELECT {key} AS id, {D.shingles(text, ascii=ascii)} AS h FROM {source}),
     m AS (SELECT id, list_sort(h) AS h FROM s WHERE len(h) > 0), k AS (SELECT h, min(id) AS cls, len(h) AS n FROM m GROUP BY h),
     e AS (SELECT cls, n, unnest(h) AS g FROM k), p AS (SELECT a.cls AS a, b.cls AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.cls < b.cls GROUP BY ALL),
     l AS (SELECT a, b FROM p WHERE c::DOUBLE / (na + nb - c) >= {threshold}),
     t AS (SELECT cls, count(*) AS links FROM (SELECT a AS cls FROM l UNION ALL SELECT b FROM l) GROUP BY cls)"""
 
 
+def kept_sql(rows: str, source: str, text: str, order: str, threshold: float) -> str:
+    """Keep-first: the classes with links in the order of their first row, one after the other."""
+    return f"""WITH RECURSIVE {rows}, {link_sql(source, 'id', text, threshold, ascii=False)}, w AS (SELECT m.id, k.cls, {source}.{order} AS o FROM m JOIN k USING (h) JOIN {source} ON m.id = {source}.id),
+    d AS (SELECT cls, id, o FROM w QUALIFY row_number() OVER (PARTITION BY cls ORDER BY o NULLS FIRST, id) = 1), b AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+    v AS (SELECT d.cls, row_number() OVER (ORDER BY o NULLS FIRST, id) AS i, n.near FROM d JOIN (SELECT x, list(y) AS near FROM b GROUP BY x) n ON d.cls = n.x),
+    g AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept UNION ALL SELECT v.i, CASE WHEN list_has_any(v.near, g.kept) THEN g.kept ELSE list_append(g.kept, v.cls) END FROM g JOIN v ON v.i = g.i + 1),
+    z AS (SELECT unnest(kept) AS cls FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1))
+    SELECT id FROM d WHERE cls NOT IN (SELECT x FROM b) OR cls IN (SELECT cls FROM z) UNION ALL SELECT id FROM s WHERE len(h) = 0"""
+
+
 def kept_columns(out: DataFrame, key: str) -> DataFrame:
     sizes = out.where("cls is not null").groupBy("cls").agg(F.min(key).alias("first_id"), F.count("*").alias("copies"))
     return out.join(sizes, "cls").select(key, "first_id", "copies", "links")
@@ -101,13 +111,13 @@ def question_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return kept_columns(dedup.lexical_dedup(records(spark, d, "question"), "id", "question", "id", 0.8, ascii=True), "id")
 
 
-@query()
+@query(kept_sql(D.CHUNKS, "c", "text", "id", 0.85))
 def chunks_kept(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that stay after keep-first removal of near-duplicates."""
     return dedup.lexical_dedup(chunks(spark, d), "id", "text", "id", 0.85).where("kept").select("id")
 
 
-@query()
+@query(kept_sql(D.RECORDS, "r", "question", "loaded_at", 0.8))
 def questions_kept(spark: SparkSession, d: str) -> DataFrame:
     """Questions that stay, in the order they were loaded."""
     return dedup.lexical_dedup(records(spark, d, "question"), "id", "question", "loaded_at", 0.8).where("kept").select("id")

@@ -416,11 +416,13 @@ def delimited(content: bytes, doc_id: str, source: str, most: int = 501) -> list
     return out.done()
 
 
-def no_pdf(content: bytes, doc_id: str, source: str) -> list[dict]:
-    raise ParseError("no PDF backend is installed; give fragments to operators.geometry instead")
+def pdf_file(content: bytes, doc_id: str, source: str) -> list[dict]:
+    from docloom.sources.pdf import pdf
+
+    return pdf(content, doc_id, source)
 
 
 PARSERS = {
     ".md": markdown, ".markdown": markdown, ".txt": markdown, ".html": html_page, ".htm": html_page, ".xhtml": html_page, ".tex": latex_source, ".docx": docx, ".epub": epub,
-    ".ipynb": notebook, ".csv": delimited, ".tsv": delimited, ".pdf": no_pdf,
+    ".ipynb": notebook, ".csv": delimited, ".tsv": delimited, ".pdf": pdf_file,
 }
