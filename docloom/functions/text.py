@@ -70,12 +70,16 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def entropy(items: Column) -> Column:
-    """Shannon entropy of an array in bits; 0 for an empty one."""
+    """Shannon entropy of an array in bits; 0 for an empty one. Runs of the sorted array are counted, so time grows with its length."""
 
-    # -sum p log2 p over distinct items, with p = count / n.
     def bits(xs: Column) -> Column:
-        part = F.transform(F.array_sort(F.array_distinct(xs)), lambda x: F.size(F.filter(xs, lambda y: y == x)).cast("double") / F.size(xs))
-        return F.aggregate(part, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+        weight = lambda run: F.when(run > 1, run * F.log2(run.cast("double"))).otherwise(0.0)
+        start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+        same = lambda s, x: s["last"].eqNullSafe(x)
+        step = lambda s, x: F.struct(x.alias("last"), F.when(same(s, x), s["run"] + 1).otherwise(1).alias("run"), F.when(same(s, x), s["sum"]).otherwise(s["sum"] + weight(s["run"])).alias("sum"))
+        n = F.size(xs)
+        total = F.aggregate(F.array_sort(xs), start, step, lambda s: s["sum"] + weight(s["run"]))
+        return F.when(n == 0, 0.0).otherwise(F.greatest(F.log2(n.cast("double")) - total / n, F.lit(0.0)))
 
     return let(items, bits)
 

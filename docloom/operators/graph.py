@@ -209,12 +209,21 @@ def bridging_pairs(found: DataFrame, known: DataFrame, edges: DataFrame, limit:
 def cross_document(found: DataFrame, known: DataFrame, edges: DataFrame, limit: int = 32) -> DataFrame:
     """(a, b, sources, chunks): entities of several sources with themselves, and linked entities that share no source; ordered
     by the number of sources together, then by the chunks of the first, then by keys; the first `limit`."""
-    alone = known.where("sources > 1").select(F.col("key").alias("a"), F.col("key").alias("b"), "sources", "chunks")
+    alone = cut(known.where("sources > 1").select(F.col("key").alias("a"), F.col("key").alias("b"), "sources", "chunks").orderBy(F.desc("sources"), F.desc("chunks"), "a").limit(limit))
     where = found.select("key", "source").where("source is not null").distinct()
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    left = pairs.join(where.withColumnRenamed("key", "a"), "a")
-    shared = left.join(where.withColumnRenamed("key", "b"), ["b", "source"], "left_semi").select("a", "b").distinct()
+    # Entities that occur in one chunk share its source, so their link says nothing here, unless that chunk has none.
+    if found.where("source is null").isEmpty():
+        edges = edges.where("relation <> 'co_occurs'")
     counts = known.select("key", "sources", "chunks")
-    apart = pairs.join(shared, ["a", "b"], "left_anti").join(counts.withColumnsRenamed({"key": "a", "sources": "sa"}), "a").join(counts.select(F.col("key").alias("b"), F.col("sources").alias("sb")), "b")
-    apart = apart.where("sa > 0 and sb > 0").select("a", "b", (F.col("sa") + F.col("sb")).alias("sources"), "chunks")
+    named = lambda end, *more: counts.select(F.col("key").alias(end), F.col("sources").alias(f"s{end}"), *more)
+    linked = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+    pairs = linked.join(named("a", "chunks"), "a").join(named("b"), "b").where("sa > 0 and sb > 0")
+    # The entities of several sources fill the list down to some number of sources; pairs with fewer can't enter it.
+    edge = alone.agg(F.count("*").alias("n"), F.min("sources").alias("least")).first()
+    if edge["n"] >= limit:
+        pairs = pairs.where(F.col("sa") + F.col("sb") >= edge["least"])
+    pairs = cut(pairs)
+    left = pairs.select("a", "b").join(where.withColumnRenamed("key", "a"), "a")
+    shared = left.join(where.withColumnRenamed("key", "b"), ["b", "source"], "left_semi").select("a", "b").distinct()
+    apart = pairs.join(shared, ["a", "b"], "left_anti").select("a", "b", (F.col("sa") + F.col("sb")).alias("sources"), "chunks")
     return alone.unionByName(apart).orderBy(F.desc("sources"), F.desc("chunks"), "a", "b").limit(limit)
