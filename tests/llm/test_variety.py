@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -68,3 +69,14 @@ def test_nulls_repeats_and_empty(spark):
     out = varied_subset(df, 10).collect()
     assert sorted(r["id"] for r in out) == ["a", "b", "c"]
     assert varied_subset(df.limit(0)).count() == 0
+
+
+def test_parts_lose_little_of_the_determinant(spark):
+    """Core-sets of four parts against one greedy pass over all rows: the mean logarithm of the gains."""
+    draw = random.Random(11)
+    rows = [(f"r{i:04d}", " ".join(f"w{int(draw.random() ** 2 * 300)}" for _ in range(9)), ["easy", "hard"][i % 2], f"t{i % 5}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "id string, question string, difficulty string, task string")
+    whole = [r["gain"] for r in varied_subset(df, 40, part=5000).collect()]
+    parts = [r["gain"] for r in varied_subset(df, 40, part=200, core=40).collect()]
+    assert len(whole) == len(parts) == 40
+    assert sum(map(math.log, parts)) / 40 >= sum(map(math.log, whole)) / 40 - 0.02
