@@ -164,13 +164,14 @@ def content_id(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("\x1f", *[text_of(p) for p in parts])), 1, 16)
 
 
-def record_id(source: Column, question: Column, answer: Column, longest: int | None = None) -> Column:
-    """Over the whole answer, or its first `longest` characters."""
+def record_id(source: Column, question: Column, answer: Column, longest: int | None = 256) -> Column:
+    """Over the first `longest` characters of the answer, or the whole answer with None, as the pipeline has it."""
     return content_id(source, question, F.substring(text_of(answer), 1, longest) if longest else answer)
 
 
-def chunk_id(source: Column, text: Column, longest: int | None = None) -> Column:
-    """Over the whole text, or its first `longest` characters: different texts with an equal beginning then have one id."""
+def chunk_id(source: Column, text: Column, longest: int | None = 512) -> Column:
+    """Over the first `longest` characters of the text, so that different texts with an equal beginning have one id, or the whole
+    text with None, as the pipeline has it."""
     return content_id(source, F.substring(text_of(text), 1, longest) if longest else text)
 
 

@@ -40,7 +40,7 @@ def records_from(asked: DataFrame, task: str) -> DataFrame:
     """One record for each row of the replies; asked: id, source, sources, context, node_ids, breadcrumb, reply, ok."""
     rows = asked.where("ok").select("*", F.explode(rows_of(F.col("reply"))).alias("r"))
     prov = F.struct("source", "sources", "node_ids", "breadcrumb", F.lit(f"generate_{task}").alias("generator"))
-    out = rows.select(T.record_id(F.col("source"), F.col("r.question"), F.col("r.answer")).alias("id"), F.col("r.question").alias("question"), F.col("r.answer").alias("answer"), "context", F.lit(task).alias("task"), F.lit("neutral").alias("persona"), F.coalesce("r.hops", F.lit(1)).alias("hops"), prov.alias("prov"))
+    out = rows.select(T.record_id(F.col("source"), F.col("r.question"), F.col("r.answer"), None).alias("id"), F.col("r.question").alias("question"), F.col("r.answer").alias("answer"), "context", F.lit(task).alias("task"), F.lit("neutral").alias("persona"), F.coalesce("r.hops", F.lit(1)).alias("hops"), prov.alias("prov"))
     return out.dropDuplicates(["id"])
 
 
@@ -83,7 +83,7 @@ def generate_dialogues(chunks: DataFrame, backend: Backend) -> DataFrame:
     question = F.get("turns", F.lit(0))["content"]
     answer = F.element_at(F.filter("turns", lambda t: t["role"] == "assistant"), -1)["content"]
     prov = F.struct("source", "sources", "node_ids", "breadcrumb", F.lit("generate_multiturn").alias("generator"))
-    return made.select(T.record_id(F.col("source"), question, answer).alias("id"), question.alias("question"), answer.alias("answer"), "context", F.lit("multiturn").alias("task"), F.lit("neutral").alias("persona"), F.lit(1).alias("hops"), "turns", prov.alias("prov")).where("answer is not null").dropDuplicates(["id"])
+    return made.select(T.record_id(F.col("source"), question, answer, None).alias("id"), question.alias("question"), answer.alias("answer"), "context", F.lit("multiturn").alias("task"), F.lit("neutral").alias("persona"), F.lit(1).alias("hops"), "turns", prov.alias("prov")).where("answer is not null").dropDuplicates(["id"])
 
 
 def chosen(key: Column, share: float, seed: int) -> Column:
@@ -105,7 +105,7 @@ def persona_rewrites(records: DataFrame, backend: Backend, share: float = 0.3, s
     some = records.where(chosen(F.col("id"), share, seed + 3)).withColumn("persona", persona)
     text = prompt("rewrite", "Say the question as this person would, with the same meaning.", F.col("context"), F.concat(F.lit("PERSONA: "), "persona"), F.concat(F.lit("QUESTION: "), F.regexp_replace("question", r"\s+", " ")))
     made = completed(some.withColumn("prompt", text), backend, temperature=0.9).where("ok and trim(reply) <> ''")
-    out = made.withColumn("question", F.col("reply")).withColumn("id", T.record_id(F.col("prov.source"), F.col("reply"), F.col("answer")))
+    out = made.withColumn("question", F.col("reply")).withColumn("id", T.record_id(F.col("prov.source"), F.col("reply"), F.col("answer"), None))
     return out.select(*records.columns)
 
 
@@ -150,7 +150,7 @@ def generate_react(chunks: DataFrame, backend: Backend) -> DataFrame:
     made = got.withColumn("tool_trace", trace).where("trim(coalesce(r.question, '')) <> '' and size(tool_trace) > 0")
     prov = F.struct("source", "sources", "node_ids", "breadcrumb", F.lit("generate_react").alias("generator"))
     question, answer = F.trim("r.question"), F.trim(T.text_of(F.col("r.answer")))
-    return made.select(T.record_id(F.col("source"), question, answer).alias("id"), question.alias("question"), answer.alias("answer"), "context", F.lit("react").alias("task"), F.lit("neutral").alias("persona"), F.lit("complex").alias("difficulty"), F.lit(1).alias("hops"), "tool_trace", F.struct("grids", "captions").alias("tool_env"), prov.alias("prov")).dropDuplicates(["id"])
+    return made.select(T.record_id(F.col("source"), question, answer, None).alias("id"), question.alias("question"), answer.alias("answer"), "context", F.lit("react").alias("task"), F.lit("neutral").alias("persona"), F.lit("complex").alias("difficulty"), F.lit(1).alias("hops"), "tool_trace", F.struct("grids", "captions").alias("tool_env"), prov.alias("prov")).dropDuplicates(["id"])
 
 
 def generate_figure_qa(chunks: DataFrame, figures: DataFrame, backend: Backend, per_figure: int = 2) -> DataFrame:
@@ -163,7 +163,7 @@ def generate_figure_qa(chunks: DataFrame, figures: DataFrame, backend: Backend,
     asked = completed(inputs, backend, temperature=0.7, most=1800, role="vision", images="images", json_reply=True).where("ok")
     got = asked.select("*", F.explode(rows_of(F.col("reply"))).alias("r"))
     prov = F.struct("source", "sources", "node_ids", "bboxes", "breadcrumb", F.lit("generate_figure_qa").alias("generator"))
-    return got.select(T.record_id(F.col("source"), F.col("r.question"), F.col("r.answer")).alias("id"), F.trim("r.question").alias("question"), F.trim("r.answer").alias("answer"), "context", F.lit("figure_qa").alias("task"), F.lit("neutral").alias("persona"), F.lit("intermediate").alias("difficulty"), F.lit(1).alias("hops"), "images", prov.alias("prov")).dropDuplicates(["id"])
+    return got.select(T.record_id(F.col("source"), F.col("r.question"), F.col("r.answer"), None).alias("id"), F.trim("r.question").alias("question"), F.trim("r.answer").alias("answer"), "context", F.lit("figure_qa").alias("task"), F.lit("neutral").alias("persona"), F.lit("intermediate").alias("difficulty"), F.lit(1).alias("hops"), "images", prov.alias("prov")).dropDuplicates(["id"])
 
 
 # Ways of making a question harder.
@@ -180,4 +180,4 @@ def evolved(records: DataFrame, backend: Backend, share: float = 0.2, seed: int
     got = asked.withColumn("__r", one_object(F.col("reply"), "applied boolean, question string, answer string"))
     kept = got.where("coalesce(__r.applied, true) and trim(coalesce(__r.question, '')) <> '' and trim(coalesce(__r.answer, '')) <> ''")
     out = kept.withColumn("question", F.trim("__r.question")).withColumn("answer", F.trim("__r.answer")).withColumn("difficulty", F.lit("complex")).withColumn("prov", F.col("prov").withField("generator", F.concat(F.lit("evolve:"), "__way")))
-    return out.withColumn("id", T.record_id(F.col("prov.source"), F.col("question"), F.col("answer"))).select(*records.columns)
+    return out.withColumn("id", T.record_id(F.col("prov.source"), F.col("question"), F.col("answer"), None)).select(*records.columns)

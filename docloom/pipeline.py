@@ -46,7 +46,7 @@ def chunks_of(nodes: DataFrame, most: int = 900, least: int = 60) -> DataFrame:
     held = lambda kind, get: F.filter(F.transform(F.filter("b", lambda x: x["kind"] == kind), get), lambda v: v.isNotNull())
     refs = F.array_distinct(F.flatten(F.filter(F.transform("b", lambda x: x["refs"]), lambda r: r.isNotNull())))
     return rows.select(
-        T.chunk_id(F.col("doc_id"), text).alias("id"), "doc_id", text.alias("text"), F.when((F.size("b") == 1) & (F.get("b", F.lit(0))["kind"] == "table"), "table").otherwise("section").alias("kind"),
+        T.chunk_id(F.col("doc_id"), text, None).alias("id"), "doc_id", text.alias("text"), F.when((F.size("b") == 1) & (F.get("b", F.lit(0))["kind"] == "table"), "table").otherwise("section").alias("kind"),
         F.col("doc_id").alias("source"), "breadcrumb", "section_path", F.transform("b", lambda x: x["node_id"]).alias("node_ids"), F.array_sort(F.array_distinct(F.filter(F.transform("b", lambda x: x["page"]), lambda p: p.isNotNull()))).alias("pages"),
         F.transform("b", lambda x: x["anchor"]).alias("anchors"), F.filter(F.transform("b", lambda x: x["bbox"]), lambda x: x.isNotNull()).alias("bboxes"), held("table", lambda x: x["tbl"]["html"]).alias("tables"), held("table", lambda x: x["tbl"]["grid"]).alias("grids"), held("equation", lambda x: x["latex"]).alias("equations"),
         held("figure", lambda x: x["node_id"]).alias("figures"), F.when(F.size(refs) > 0, F.array_join(refs, "\n")).alias("resolved_refs"), T.token_estimate(text).alias("tokens"),

@@ -155,8 +155,8 @@ def test_figures_and_harder_questions(spark):
 
 def test_ids_tell_long_texts_apart(spark):
     df = spark.createDataFrame([("x" * 600 + "a",), ("x" * 600 + "b",)], "t string")
-    assert df.select(T.chunk_id(F.lit("s"), F.col("t"))).distinct().count() == 2 == df.select(T.record_id(F.lit("s"), F.lit("q"), F.col("t"))).distinct().count()
-    assert df.select(T.chunk_id(F.lit("s"), F.col("t"), 512)).distinct().count() == 1
+    assert df.select(T.chunk_id(F.lit("s"), F.col("t"), None)).distinct().count() == 2 == df.select(T.record_id(F.lit("s"), F.lit("q"), F.col("t"), None)).distinct().count()
+    assert df.select(T.chunk_id(F.lit("s"), F.col("t"))).distinct().count() == 1
 
 
 def test_runtime_counts_and_refuses(spark):
